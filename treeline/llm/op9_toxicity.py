@@ -30,7 +30,7 @@ FIT_ROWS = 8000
 FIT_CHARS = 20_000
 BITS = 20
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
-STEPS = 32_000  # updates in all; small samples are gone through more often
+STEPS = 16_000  # updates in all; small samples are gone through more often
 MOST_EPOCHS = 20
 STEMS = (4, 5, 6, 7, 8, 10)
 #: From how many occurrences on, and what is put to the slot.
