@@ -60,6 +60,7 @@ class Block:
     value: np.ndarray  # hash of each word
     word_at: np.ndarray  # count + 1 offsets into the words
     total: np.ndarray  # running sum that the hashes come from
+    raw: np.ndarray  # bytes, as they came
 
     def owner(self) -> np.ndarray:
         """The text of each word, counted from ``first``."""
@@ -86,7 +87,8 @@ def blocks(texts: list[str | None], apart: np.ndarray = SPACE, fold: np.ndarray
 
 
 def _block(raw: list[bytes], first: int, apart: np.ndarray, fold: np.ndarray) -> Block:
-    data = fold[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    as_is = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+    data = fold[as_is]
     text_at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])
     gap = apart[data]
     gap[text_at[1:] - 1] = True
@@ -97,7 +99,7 @@ def _block(raw: list[bytes], first: int, apart: np.ndarray, fold: np.ndarray) ->
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=total[1:])
     value = mix((total[stop] - total[start]) * down[start])
-    return Block(first, len(raw), data, text_at, start, stop, value, np.searchsorted(start, text_at), total)
+    return Block(first, len(raw), data, text_at, start, stop, value, np.searchsorted(start, text_at), total, as_is)
 
 
 def joined(value: np.ndarray, word_at: np.ndarray, lags: tuple[int, ...], salt: int) -> tuple[np.ndarray, np.ndarray]:
