@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from treeline.llm import op2_secrets, op3_language, op4_mix, op5_fingerprint, op8_html, op9_toxicity
+from treeline.llm import op2_secrets, op3_language, op4_mix, op5_fingerprint, op6_join, op8_html, op9_toxicity
 
-OPERATORS = (op2_secrets, op3_language, op4_mix, op5_fingerprint, op8_html, op9_toxicity)
+OPERATORS = (op2_secrets, op3_language, op4_mix, op5_fingerprint, op6_join, op8_html, op9_toxicity)
 QUERIES = {m.NAME: m.query for m in OPERATORS}
 ORACLES = {m.NAME: m.ORACLE for m in OPERATORS if hasattr(m, "ORACLE")}
