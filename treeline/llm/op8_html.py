@@ -21,11 +21,13 @@ ignored.
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,8 +152,23 @@ def main_text(page: list[tuple[str, str, bool, bool]], other: list | None) -> st
     return "\n".join(text for i, (text, _, bad, good) in enumerate(page) if not bad and (good or i not in gone))
 
 
+def packed(page: list[tuple[str, str, bool, bool]]) -> bytes:
+    return zstandard.compress(json.dumps(page, ensure_ascii=False).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(page: bytes) -> list[tuple[str, str, bool, bool]]:
+    return [tuple(x) for x in json.loads(zstandard.decompress(page).decode("utf-8", "surrogatepass"))]
+
+
+def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The html column of each row becomes its lines, packed: less to shuffle."""
+    for part in parts:
+        pages = pa.array([packed(lines(x)) for x in part.column("html").to_pylist()], pa.binary())
+        yield part.drop_columns(["html"]).append_column("page", pages)
+
+
 FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-WRITTEN = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("html", pa.string()), ("before", pa.string()), *FIELDS])
+WRITTEN = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("page", pa.binary()), ("before", pa.binary()), *FIELDS])
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
@@ -166,10 +183,10 @@ def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for part in parts:
         done: dict[str, list] = {c: [] for c in ("page_id", "url", "host", "text", "n_chars")}
-        for page_id, url, host, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "html")), strict=True):
-            new = (page_id, url, host, page, lines(page))
+        for page_id, url, host, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "page")), strict=True):
+            new = (page_id, url, host, page, unpacked(page))
             if held is None:
-                yield row(1, {"host": [host], "html": [page]})
+                yield row(1, {"host": [host], "page": [page]})
             else:
                 other = new if host == held[2] else back if back and back[2] == held[2] else None
                 text = main_text(held[4], other and other[4])
@@ -179,7 +196,7 @@ def neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if done["host"]:
             yield row(0, done)
     if held is not None:
-        yield row(2, {"page_id": [held[0]], "url": [held[1]], "host": [held[2]], "html": [held[3]], "before": [back[3] if back and back[2] == held[2] else None]})
+        yield row(2, {"page_id": [held[0]], "url": [held[1]], "host": [held[2]], "page": [held[3]], "before": [back[3] if back and back[2] == held[2] else None]})
 
 
 def straddling(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,8 +206,8 @@ def straddling(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         out: dict[str, list] = {c: [] for c in FIELDS.names}
         for r in rows:
-            other = r["next_html"] if r["same"] else r["before"]
-            text = main_text(lines(r["html"]), None if other is None else lines(other))
+            other = r["next_page"] if r["same"] else r["before"]
+            text = main_text(unpacked(r["page"]), None if other is None else unpacked(other))
             for c, x in zip(FIELDS.names, (r["page_id"], r["url"], text, len(text)), strict=True):
                 out[c].append(x)
         yield pa.RecordBatch.from_pydict(out, schema=FIELDS)
@@ -209,14 +226,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     spark = pages.sparkSession
     host, path = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumns({"host": host, "path": path})
-    order = [F.col("host"), F.col("path"), F.col("page_id"), F.md5(F.coalesce("html", F.lit("")))]
+    rows = rows.mapInArrow(parse, "page_id long, url string, host string, path string, page binary")
+    order = [F.col("host"), F.col("path"), F.col("page_id"), F.md5("page")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("path")
-    made = written(ordered.mapInArrow(neighbours, f"kind int, part int, host string, html string, before string, {RESULT}"), "pages")
-    first = made.where("kind = 1").select(F.col("part").alias("next_part"), F.col("host").alias("next_host"), F.col("html").alias("next_html"))
+    made = written(ordered.mapInArrow(neighbours, f"kind int, part int, host string, page binary, before binary, {RESULT}"), "pages")
+    first = made.where("kind = 1").select(F.col("part").alias("next_part"), F.col("host").alias("next_host"), F.col("page").alias("next_page"))
     parts = sorted(r[0] for r in made.where("kind = 1").select("part").collect())  # one number a partition
     follows = spark.createDataFrame(list(zip(parts, [*parts[1:], -1], strict=True)), "part int, next_part int")
     last = made.where("kind = 2").join(F.broadcast(follows), "part").join(first, "next_part", "left")
-    last = last.select("page_id", "url", "html", "before", "next_html", F.coalesce(F.col("host") == F.col("next_host"), F.lit(False)).alias("same"))
+    last = last.select("page_id", "url", "page", "before", "next_page", F.coalesce(F.col("host") == F.col("next_host"), F.lit(False)).alias("same"))
     return made.where("kind = 0").select(*FIELDS.names).unionByName(last.mapInArrow(straddling, RESULT))
 
 
