@@ -129,23 +129,26 @@ def train(docs: DataFrame, rows: int = FIT_ROWS, most_chars: int = FIT_CHARS) ->
     return fit(labelled_sample(docs.select("doc_id", "text"), labels, "lang", rows, most_chars))
 
 
+def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    langs, score = [NONE] * len(texts), np.zeros(len(texts))
+    able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+    for k in range(0, len(able), 256):
+        some = able[k : k + 256]
+        got = model.scores([texts[i] for i in some])
+        best = got.argmax(1)
+        score[some] = np.clip((got[np.arange(len(some)), best] + 1) / 2, 0, 1)
+        for i, b in zip(some, best, strict=True):
+            langs[i] = model.langs[b]
+    return langs, score
+
+
 def predictor(model):
     """A mapInArrow function. model: a broadcast Model or None."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
         for part in parts:
-            texts = part.column("text").to_pylist()
-            langs, score = [NONE] * len(texts), np.zeros(len(texts))
-            if m is not None:
-                able = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
-                for k in range(0, len(able), 256):
-                    some = able[k : k + 256]
-                    got = m.scores([texts[i] for i in some])
-                    best = got.argmax(1)
-                    score[some] = np.clip((got[np.arange(len(some)), best] + 1) / 2, 0, 1)
-                    for i, b in zip(some, best, strict=True):
-                        langs[i] = m.langs[b]
+            langs, score = predicted(model.value, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -159,6 +162,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of docs whose text has a language with a score of at least ``least``; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            langs, score = predicted(shared.value, part.column("text").to_pylist())
+            yield part.filter(pa.array([x != NONE and s >= least for x, s in zip(langs, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, train(docs))

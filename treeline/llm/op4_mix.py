@@ -12,7 +12,7 @@ Defined results for odd input:
 
 * null or empty text: size 0, and taken 0;
 * null source: a source of its own, last in the order; null doc_id: shuffled as the empty string;
-* repeated rows: each is a document; rows equal in doc_id and size at the cut are all left out;
+* repeated rows: each is a document; rows equal in source, doc_id and size finish together and are taken alike;
 * empty table: no rows; a table without a word: target 0, taken 0;
 * more columns, also with names used here: ignored.
 """
@@ -55,7 +55,7 @@ def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), passes: int = 3) -
 
 
 def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), passes: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs -> doc_id, size, source_size, target, taken."""
+    """docs -> doc_id, source, size, source_size, target, taken."""
     name = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     sized = written(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)).cast("long").alias("size"), name.alias("h")).withColumn("hb", F.substring("h", 1, HASH_DIGITS)),
@@ -67,12 +67,12 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), passes: int = 3, id_col: str =
     b, t = by_bucket.withColumn("lower", F.coalesce(F.sum("words").over(lower), F.lit(0))).alias("b"), targets.alias("t")
     buckets = b.join(t, F.expr("b.source <=> t.source")).select("b.source", "hb", "lower", "source_size", "target").alias("b")
     s = sized.alias("s")
-    inside = W.partitionBy("source_key", "hb").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source_key", "hb").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")  # by value: rows equal in all three count as one place
     queued = written(
         s.join(buckets, F.expr("s.hb = b.hb AND s.source <=> b.source"))
         .select("s.doc_id", "s.size", "s.h", "s.hb", F.struct("s.source").alias("source_key"), "source_size", "target", "lower")
         .withColumn("upto", F.col("lower") + F.sum("size").over(inside))
-        .select("doc_id", "size", "h", "source_size", "target", "upto"),
+        .select("doc_id", "source_key.source", "size", "h", "source_size", "target", "upto"),
         "mix-queue",
     )
     finish = lambda e: (F.col("upto") + e * F.col("source_size")) / F.when(F.col("target") > 0, F.col("target"))
@@ -85,11 +85,20 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), passes: int = 3, id_col: str =
     run = F.sum("k.size").over(W.partitionBy("vb").orderBy("k"))  # by value: equal rows stand or fall together
     cut = each.join(F.broadcast(reached), "vb").withColumn("total", F.col("below") + run).where("total > budget").agg(F.min("k").alias("cut"))
     passes_taken = sum((F.coalesce((F.col("cut").isNull() | (key(e) < F.col("cut"))) & (F.col("target") > 0), F.lit(False)).cast("long") for e in range(passes)), F.lit(0).cast("long"))
-    return queued.crossJoin(F.broadcast(cut)).select("doc_id", "size", "source_size", "target", (F.col("size") * passes_taken).alias("taken"))
+    return queued.crossJoin(F.broadcast(cut)).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * passes_taken).alias("taken"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs -> its rows that the mix takes, all columns, with size, and taken: size times the passes over the row."""
+    kept = [x for x in docs.columns if x not in ("size", "taken")]
+    plan = mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken").dropDuplicates(["doc_id", "source", "size"])
+    sized = docs.select(*kept, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    d, p = sized.alias("d"), plan.alias("p")
+    return d.join(p, F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source AND d.size = p.size")).select(*(f"d.`{x}`" for x in kept), "d.size", "p.taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
 
 
 ORACLE = r"""
@@ -110,7 +119,7 @@ c AS (SELECT rest AS common FROM r WHERE level >= rest ORDER BY level, source NU
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * common) AS target FROM r, c),
 q AS (
   SELECT d.doc_id, d.size, d.h, t.source_size, t.target,
-         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+         CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.size) AS BIGINT) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (
   SELECT *, CAST(upto + e * source_size AS DOUBLE) / target AS v
