@@ -7,10 +7,11 @@ Documents with equal sets form one class, and classes are joined:
    the list of them stays under FREQUENT_BOUND and can be broadcast) are the frequent class, all others the rare one.
 2. A second pass orders each set by class, rare first, and by hash. Two sets that link share at least two shingles of
    the first n - ceil(t * n) + 2 of either. Of these, rare shingles are indexed singly and frequent ones in pairs: a pair
-   of documents that shares no rare one shares two frequent ones. Each set also gives 512 parity bits.
-3. Lists of up to SHORT classes with one key give all their pairs. Longer lists first give the pairs of each member and
-   six pivots. Pairs must pass the length bound and the parity bound (the bits in which two sets differ are at most the
-   shingles in which they differ) before the sets themselves are compared.
+   of documents that shares no rare one shares two frequent ones. Each set also gives parity bits, one or two a shingle.
+3. Lists of up to SHORT classes with one key give all their pairs. Longer lists are divided by set size, into bands that
+   overlap; those still longer first give the pairs of each member and six pivots. Pairs must pass the length bound and
+   the parity bound (the bits in which two sets differ are at most the shingles in which they differ) before the sets
+   themselves are compared.
 4. Members of a long list that these links did not bring together are compared, parity bits only, in blocks of BLOCK by
    BLOCK; the few pairs that pass have their sets compared as well. So no list is skipped or cut, no group is held in
    one task, and links inside what is already connected aren't enumerated.
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.llm import words
@@ -43,7 +45,7 @@ RARE = 64
 FREQUENT_BOUND = 1_000_000  # shingles, 8 bytes each
 SHORT = 8
 BLOCK = 256
-BITMAP = 8  # words of 64 parity bits
+LEAST_BITS = 512  # parity bits of a set
 PIVOTS = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x7FB5D329728EA185)
 SLOTS = 1 << 20
 
@@ -56,10 +58,10 @@ def shingle_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndar
         parts = np.split(made, np.searchsorted(owner, np.arange(1, b.count)))
         for k, part in enumerate(parts):
             if not len(part) and b.word_at[k + 1] > b.word_at[k]:  # fewer than n words: all of them as one
-                few = np.uint64(n)
+                few = np.full(1, n, np.uint64)
                 for x in b.value[b.word_at[k] : b.word_at[k + 1]]:
-                    few = words.mix(np.array([few + x + np.uint64(0x51)], np.uint64))[0]
-                part = np.array([few], np.uint64)
+                    few = words.mix(few + x + np.uint64(0x51))
+                part = few
             yield b.first + k, np.unique(part)
 
 
@@ -109,25 +111,34 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([rare, words.mix(words.mix(late[i]) + late[j])])
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray) -> bytes:
+    """For each of as many slots as the set has shingles, rounded up to a power of two, whether it has an odd number of them."""
+    slots = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-BITS = [f"b{k}" for k in range(BITMAP)]
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("toks", pa.binary()), *((b, pa.int64()) for b in BITS)])
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """The same parity bits with fewer slots: slots that become one add up."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("toks", pa.binary()), ("bits", pa.binary())])
 
 
 def indexer(shared, n: int, percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for part in parts:
-            ids, texts = part.column("doc_id"), part.column("text").to_pylist()
+            ids, hashes, texts = part.column("doc_id"), part.column("text_hash"), part.column("text").to_pylist()
             out: dict[str, list] = {c: [] for c in SETS.names}
             first = 0
 
             def batch(stop: int) -> pa.RecordBatch:
-                made = pa.RecordBatch.from_pydict(out | {"doc_id": ids.slice(first, stop - first)}, schema=SETS)  # noqa: B023
+                made = pa.RecordBatch.from_pydict(out | {"doc_id": ids.slice(first, stop - first), "text_hash": hashes.slice(first, stop - first)}, schema=SETS)  # noqa: B023
                 for x in out.values():  # noqa: B023
                     x.clear()
                 return made
@@ -139,8 +150,7 @@ def indexer(shared, n: int, percent: int):
                 out["cls"].append(class_of(s) if len(s) else None)
                 out["keys"].append(keys.view(np.int64) if linked else None)
                 out["toks"].append((s >> np.uint64(32)).astype("<u4").tobytes() if linked else None)
-                for b, x in zip(BITS, parity(s).tolist(), strict=True):
-                    out[b].append(x)
+                out["bits"].append(parity(s) if linked else None)
                 if len(out["n"]) == 1000:
                     yield batch(k + 1)
                     first = k + 1
@@ -152,11 +162,22 @@ def indexer(shared, n: int, percent: int):
 
 def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b), those that the lengths and the parity bits allow, with both lengths."""
-    side = lambda x: reps.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), *(F.col(b).alias(f"{b}_{x}") for b in BITS))
-    differ = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in BITS), F.lit(0))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    # 100 * both >= percent * union and differ <= union - both
-    return near.where(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b", "n_a", "n_b")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            good = []
+            for x, y, n, m in zip(*(part.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")), strict=True):
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                # 100 * both >= percent * union and differ <= union - both
+                good.append(differ * (100 + percent) <= (n + m) * (100 - percent))
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(mask) for c in ("a", "b", "n_a", "n_b")], names=["a", "b", "n_a", "n_b"])
+
+    lengths = lambda x: reps.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"))
+    bits = lambda x: reps.select(F.col("cls").alias(x), F.col("bits").alias(f"bits_{x}"))
+    near = pairs.join(lengths("a"), "a").join(lengths("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return near.join(bits("a"), "a").join(bits("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long, n_a long, n_b long")
 
 
 def comparer(percent: int):
@@ -189,14 +210,16 @@ def screen(percent: int):
 
     def run(table: pa.Table) -> pa.Table:
         cls, label, n = (table.column(c).to_numpy() for c in ("cls", "label", "n"))
-        bits = np.stack([table.column(b).to_numpy() for b in BITS], 1).view(np.uint64)
+        packed = table.column("bits").to_pylist()
+        size = min(map(len, packed))
+        bits = np.stack([folded(x, size) for x in packed])
         block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for k in range(0, len(left), BLOCK):
             x = left[k : k + BLOCK]
             differ = np.zeros((len(x), len(right)), np.int64)
-            for w in range(BITMAP):
+            for w in range(bits.shape[1]):
                 differ += np.bitwise_count(bits[x, None, w] ^ bits[None, right, w])
             total = n[x, None] + n[None, right]
             ok = (differ * (100 + percent) <= total * (100 - percent)) & (label[x, None] != label[None, right])
@@ -210,29 +233,41 @@ def screen(percent: int):
     return run
 
 
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the lists of at most SHORT classes, as far as their lengths allow."""
+    short = lists.where(F.col("size") <= SHORT)
+    a, b = (short.select("key", F.col("cls").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return a.join(b, "key").where("a < b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
+
+
 def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, text) -> (sets(doc_id, n, cls, ...) with one row per document, links(a, b) of classes that connect).
 
     Every two classes that link are connected by the links, though not each such pair is among them.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("text_hash"))
     often = max(rare, rows.select("doc_id").count() // 20_000)
     counts = rows.select("text").mapInArrow(counter(n), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > often)
     frequent = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT_BOUND).toPandas()["shingle"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
-    kinds = "doc_id long, n long, cls long, keys array<long>, toks binary, " + ", ".join(f"{b} long" for b in BITS)
+    kinds = "doc_id long, text_hash long, n long, cls long, keys array<long>, toks binary, bits binary"
     sets = written(rows.mapInArrow(indexer(shared, n, percent), kinds), "sets")
     reps = written(sets.where("keys IS NOT NULL").drop("toks").dropDuplicates(["cls"]), "classes")
-    posted = reps.select("cls", F.explode("keys").alias("key"))
+    posted = reps.select("cls", "n", F.explode("keys").alias("key"))
+    sizes = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    live = written(posted.join(sizes, "key"), "lists")
+    pairs = short_pairs(live, percent)
+    # Long lists fall apart by size: two sets that link lie in the same band or in neighbouring ones.
+    band = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
+    banded = live.where(F.col("size") > SHORT).select("cls", "n", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
     pivots = [F.min(F.col("cls").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"p{k}") for k, x in enumerate(PIVOTS)]
-    lists = posted.groupBy("key").agg(F.count("*").alias("size"), *pivots).where("size > 1")
-    live = written(posted.join(lists, "key").select("key", "cls", "size", F.array(*[f"p{k}" for k in range(len(PIVOTS))]).alias("pivots")), "lists")
-    short = live.where(F.col("size") <= SHORT).select("key", "cls")
-    pairs = short.select("key", F.col("cls").alias("a")).join(short.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-    long = live.where(F.col("size") > SHORT)
+    sizes = banded.groupBy("key").agg(F.count("*").alias("size"), *pivots).where("size > 1")
+    banded = written(banded.join(sizes, "key").select("key", "cls", "n", "size", F.array(*[f"p{k}" for k in range(len(PIVOTS))]).alias("pivots")), "lists")
+    long = banded.where(F.col("size") > SHORT)
     star = long.select("cls", F.explode(F.array_distinct("pivots")).alias("p")).where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-    first = written(compared(written(likely(pairs.unionByName(star).distinct(), reps, percent), "pairs"), sets, reps, percent), "links")
+    pairs = pairs.unionByName(short_pairs(banded, percent)).unionByName(star).distinct()
+    first = written(compared(written(likely(pairs, reps, percent), "pairs"), sets, reps, percent), "links")
     # Labels for the second round: the least class two steps away. They need not be complete, they only spare comparisons.
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
@@ -241,8 +276,8 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> t
     known = written(long.select("key", "cls", "size").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     open_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     blocks = F.ceil(F.col("size") / BLOCK)
-    part = known.join(open_keys, "key").join(reps.select("cls", "n", *BITS), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    part = part.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "cls", "label", "n", *BITS)
+    part = known.join(open_keys, "key").join(reps.select("cls", "n", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    part = part.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "cls", "label", "n", "bits")
     rest = part.groupBy("key", "i", "j").applyInArrow(screen(percent), "a long, b long").distinct()
     rest = written(rest.select("a", "b").join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"), "pairs")
     return sets, first.unionByName(compared(rest, sets, reps, percent))
@@ -257,5 +292,21 @@ def groups(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) ->
     return s.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked documents: the one of least (doc_id, hash of the text). All columns stay.
+
+    Rows without a word stay all. A null doc_id comes before others.
+    """
+    mark = lambda d: d.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_text": F.xxhash64("doc_id", "text")})
+    sets, found = links(docs, n, percent)
+    roots = components(found).withColumnRenamed("v", "cls")
+    s = sets.select("doc_id", "n", "cls", "text_hash").join(roots, "cls", "left").withColumns({"root": F.coalesce("root", "cls"), "_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_text": F.col("text_hash")})
+    first = s.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_text")).alias("k")).select("k.*", F.lit(True).alias("_one"))
+    bare = s.where("root IS NULL").select("_id", "_text", F.lit(False).alias("_one")).distinct()
+    joined = mark(docs).join(first.unionByName(bare), ["_id", "_text"])
+    again = F.row_number().over(W.partitionBy("_id", "_text").orderBy("_one"))  # rows of one key are equal
+    return joined.withColumn("_again", again).where("_again = 1 OR NOT _one").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
