@@ -1,0 +1,76 @@
+import itertools
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from treeline.operators.kernels import UnionFind, distances, kruskal, prim
+
+SQUARE = np.array([[0.0, 0.0], [2.0, 0.0], [1.0, 2.0], [1.2, 2.0]])
+
+
+def brute(ids, coords, side=None):
+    edges = [(float(distances(coords[i], coords[j : j + 1])[0]), min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in itertools.combinations(range(len(ids)), 2) if side is None or side[i] != side[j]]
+    at = {x: k for k, x in enumerate(ids)}
+    sets, out = UnionFind(len(ids)), []
+    for w, a, b in sorted(edges):
+        if sets.unify(at[a], at[b]):
+            out.append((a, b, w))
+    return out
+
+
+def solved(ids, coords, side=None):
+    s, d, w = prim(np.array(ids), np.array(coords, float), np.zeros(len(ids), int) if side is None else np.array(side))
+    return list(zip(s.tolist(), d.tolist(), w.tolist(), strict=True))
+
+
+def test_square():
+    got = solved([0, 1, 2, 3], SQUARE)
+    assert [(a, b) for a, b, _ in got] == [(2, 3), (0, 1), (1, 3)]
+    assert math.isclose(sum(w for *_, w in got), 4.35407, abs_tol=1e-5)
+
+
+@pytest.mark.parametrize("coords", [[], [[1.0]], [[1.0], [1.0]], [[0.0], [1.0], [2.0], [3.0]], [[5.0, 5.0]] * 6])
+def test_small_and_tied(coords):
+    ids = list(range(10, 10 + len(coords)))
+    assert solved(ids, np.array(coords, float).reshape(len(ids), len(coords[0]) if coords else 1)) == brute(ids, np.array(coords, float).reshape(len(ids), len(coords[0]) if coords else 1))
+
+
+@pytest.mark.parametrize(("left", "right"), [(0, 3), (3, 0), (1, 1), (1, 4), (5, 2), (3, 3)])
+def test_bipartite_sides(left, right):
+    rng = np.random.default_rng(left * 10 + right)
+    coords, side = rng.integers(0, 3, (left + right, 2)).astype(float), [1] * left + [2] * right
+    ids = list(range(left + right))
+    got = solved(ids, coords, side)
+    assert len(got) == (left + right - 1 if left and right else 0)
+    assert got == (brute(ids, coords, side) if left and right else [])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.integers(0, 4)), min_size=1, max_size=14), st.randoms(use_true_random=False))
+def test_prim_is_the_unique_tree(points, r):
+    ids = r.sample(range(1000), len(points))
+    coords = np.array(points, float)
+    assert solved(ids, coords) == brute(ids, coords)
+    side = [r.choice([1, 2]) for _ in ids]
+    if {1, 2} == set(side):
+        assert solved(ids, coords, side) == brute(ids, coords, side)
+
+
+def test_kruskal_looks_at_every_edge():
+    src, dst, w = np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([1.0, 3.0, 2.0])
+    assert kruskal(src, dst, w).tolist() == [0, 2]
+    assert kruskal(np.array([4]), np.array([9]), np.array([7.0])).tolist() == [0]
+    assert kruskal(np.array([0, 5]), np.array([1, 6]), np.array([2.0, 1.0])).tolist() == [1, 0]  # a forest
+
+
+def test_union_find():
+    u = UnionFind(5)
+    assert u.unify(0, 3) and u.unify(3, 1) and not u.unify(0, 1)
+    assert (u.count, u.find(0), u.connected(0, 1), u.connected(0, 4)) == (3, 3, True, False)
+    with pytest.raises(ValueError):
+        UnionFind(-1)
+    with pytest.raises(IndexError):
+        u.find(5)

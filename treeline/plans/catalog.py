@@ -2,5 +2,259 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from treeline.functions import geometry as G
+from treeline.operators import components as C
+from treeline.operators.mst import local_trees, merge_round, mst
+from treeline.plans.splits import members, n_subgraphs, schedule, subgraphs, with_splits
+from treeline.session import shared_dir
+from treeline.sources.tables import read_splits, read_vectors, save_splits
+
+SPLITS, FANIN, HEIGHT = 4, 3, 1.17
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return read_vectors(spark, f"{d}/embeddings.parquet", "vec_id", "embedding")
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size", "p_retailprice")
+
+
+def rounded(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("weight", F.round("weight", 6))
+
+
+def tree(spark: SparkSession, d: str) -> DataFrame:
+    return mst(vectors(spark, d), SPLITS, FANIN)
+
+
+def points_scan(spark, d):
+    return vectors(spark, d).select("id", G.dimension(F.col("coords")).alias("d"), F.round(F.aggregate("coords", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def points_prefix(spark, d):
+    p = vectors(spark, d).where("id < 100").withColumn("coords", G.prefix(F.col("coords"), 5))
+    return p.select("id", *[F.round(F.col("coords")[k], 6).alias(f"x{k}") for k in range(5)])
+
+
+def point_hash(spark, d):
+    return parts(spark, d).select("id", G.point_hash(F.col("id"), F.col("coords")).alias("hash"))
+
+
+def point_format(spark, d):
+    return parts(spark, d).select("id", G.point_string(F.col("id"), F.col("coords")).alias("shown"))
+
+
+def edge_format(spark, d):
+    return mst(parts_small(spark, d), 2, 2).select("src", "dst", G.edge_string(F.col("src"), F.col("dst"), F.col("weight")).alias("shown"))
+
+
+def parts_small(spark, d):
+    return read_vectors(spark, f"{d}/supplier.parquet", "s_suppkey", "s_nationkey", "s_acctbal")
+
+
+def swap_bytes(spark, d):
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), G.swap_bytes(F.col("p_partkey")).alias("swapped"))
+
+
+def split_assign(spark, d):
+    return with_splits(vectors(spark, d), 7).select("id", "split")
+
+
+def split_sizes(spark, d):
+    return with_splits(vectors(spark, d), 7).groupBy("split").agg(F.count("*").alias("n_points"))
+
+
+def subgraph_plan(spark, d):
+    return subgraphs(spark, SPLITS)
+
+
+def subgraph_sizes(spark, d):
+    return members(with_splits(vectors(spark, d), SPLITS), SPLITS).groupBy("sg").agg(F.count("*").alias("n_points"))
+
+
+def fanin_schedule(spark, d):
+    return spark.createDataFrame(list(enumerate(schedule(SPLITS, FANIN))), "round int, groups int")
+
+
+def all_pairs(p: DataFrame) -> DataFrame:
+    a, b = (p.select(F.col("id").alias(i), F.col("coords").alias(c)) for i, c in (("src", "a"), ("dst", "b")))
+    return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", G.distance(F.col("a"), F.col("b")).alias("weight"))
+
+
+def pairwise_distance(spark, d):
+    return rounded(all_pairs(vectors(spark, d)))
+
+
+def between(spark, d, left, right):
+    p = with_splits(vectors(spark, d), SPLITS)
+    a = p.where(F.col("split") == left).select(F.col("id").alias("src"), F.col("coords").alias("a"))
+    b = p.where(F.col("split") == right).select(F.col("id").alias("dst"), F.col("coords").alias("b"))
+    return rounded(a.join(b, F.col("src") < F.col("dst")).select("src", "dst", G.point_distance(F.col("src"), F.col("a"), F.col("dst"), F.col("b")).alias("weight")))
+
+
+def bipartite_pairs(spark, d):
+    return between(spark, d, 0, 1)
+
+
+def mono_pairs(spark, d):
+    return between(spark, d, 0, 0)
+
+
+def nearest_neighbor(spark, d):
+    e = all_pairs(vectors(spark, d))
+    both = e.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("near"), "weight"))
+    return rounded(both.groupBy("id").agg(F.min(F.struct("weight", "near")).alias("m")).select("id", "m.near", "m.weight"))
+
+
+def local(spark, d):
+    return local_trees(with_splits(vectors(spark, d), SPLITS), SPLITS)
+
+
+def local_mst_bipartite(spark, d):
+    return rounded(local(spark, d).where(F.col("sg") < SPLITS * (SPLITS - 1) // 2))
+
+
+def local_mst_complete(spark, d):
+    return rounded(local(spark, d).where(F.col("sg") >= SPLITS * (SPLITS - 1) // 2))
+
+
+def local_mst_stats(spark, d):
+    return local(spark, d).groupBy("sg").agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+def merge_round_1(spark, d):
+    groups = -(-n_subgraphs(SPLITS) // FANIN)
+    return rounded(merge_round(local(spark, d).withColumnRenamed("sg", "grp"), FANIN, groups))
+
+
+def mst_edges(spark, d):
+    return rounded(tree(spark, d))
+
+
+def mst_ties(spark, d):
+    return rounded(mst(read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size").where("id < 300"), 3, 2))
+
+
+def mst_weight(spark, d):
+    return tree(spark, d).agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+def mst_topk_heaviest(spark, d):
+    return rounded(tree(spark, d).orderBy(F.desc("weight"), "src", "dst").limit(10))
+
+
+def component_count(spark, d):
+    return C.component_count(vectors(spark, d).select("id"), C.cut_at(tree(spark, d), HEIGHT))
+
+
+def component_root(spark, d):
+    return C.component_roots(vectors(spark, d).select("id"), C.cut_at(tree(spark, d), HEIGHT))
+
+
+def is_connected(spark, d):
+    ids = vectors(spark, d).select("id")
+    pairs = ids.select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % F.lit(500)).alias("b"))
+    return C.connected(pairs, component_root(spark, d))
+
+
+def single_linkage_labels(spark, d):
+    return C.labels_of(vectors(spark, d).select("id"), tree(spark, d), 10)
+
+
+def dendrogram_merges(spark, d):
+    return rounded(C.merges(tree(spark, d)))
+
+
+def split_roundtrip(spark, d):
+    path = f"{shared_dir(spark).rstrip('/')}/splits-{abs(hash(d))}"
+    save_splits(with_splits(vectors(spark, d), SPLITS), path)
+    return read_splits(spark, path, 1, 3).select("id", "split", G.dimension(F.col("coords")).alias("d"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        mst_edges, mst_weight, mst_topk_heaviest, mst_ties, points_scan, points_prefix, point_hash, point_format, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
+        pairwise_distance, bipartite_pairs, mono_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, single_linkage_labels, dendrogram_merges, split_roundtrip,
+    )
+}
+
+# Oracles. ``p`` has points, ``g`` both directions of every edge with its subgraph; Prim keeps one row for each vertex
+# outside the tree and marks the next.
+EMB = "p AS MATERIALIZED (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
+SPLIT = f"s AS MATERIALIZED (SELECT id, v, CAST(floor((i * {SPLITS} - 1) / n) AS INT) AS k FROM (SELECT *, row_number() OVER (ORDER BY id) AS i, count(*) OVER () AS n FROM p))"
+
+
+def prim_sql(graph: str, vertices: str) -> str:
+    """CTEs up to t(sg, src, dst, weight), from g(sg, u, v, w) and vertices(sg, id)."""
+    order = "ORDER BY {0}, least({1}, v), greatest({1}, v)"
+    return f"""{graph}, vs AS MATERIALIZED ({vertices}),
+ f(sg, v, key, par, pick) AS (
+  SELECT a.sg, a.id, coalesce(g.w, 'inf'::DOUBLE), z.u, row_number() OVER (PARTITION BY a.sg ORDER BY coalesce(g.w, 'inf'::DOUBLE), least(z.u, a.id), greatest(z.u, a.id)) = 1
+  FROM vs a JOIN (SELECT sg, min(id) AS u FROM vs GROUP BY sg) z ON a.sg = z.sg AND a.id <> z.u LEFT JOIN g ON g.sg = a.sg AND g.u = z.u AND g.v = a.id
+  UNION ALL
+  SELECT sg, v, key, par, row_number() OVER (PARTITION BY sg {order.format("key", "par")}) = 1 FROM (
+   SELECT f.sg, f.v, CASE WHEN x.lt THEN y.w ELSE f.key END AS key, CASE WHEN x.lt THEN q.v ELSE f.par END AS par
+   FROM f JOIN f q ON q.pick AND q.sg = f.sg LEFT JOIN g y ON y.sg = f.sg AND y.u = q.v AND y.v = f.v,
+        LATERAL (SELECT coalesce((y.w, least(y.u, y.v), greatest(y.u, y.v)) < (f.key, least(f.par, f.v), greatest(f.par, f.v)), false) AS lt) x
+   WHERE NOT f.pick)),
+ t AS MATERIALIZED (SELECT sg, least(par, v) AS src, greatest(par, v) AS dst, key AS weight FROM f WHERE pick AND key < 'inf'::DOUBLE)"""
+
+
+def whole_sql(points: str) -> str:
+    return "WITH RECURSIVE " + points + ", " + prim_sql("g AS MATERIALIZED (SELECT 0 AS sg, a.id AS u, b.id AS v, list_distance(a.v, b.v) AS w FROM p a JOIN p b ON a.id <> b.id)", "SELECT 0 AS sg, id FROM p")
+
+
+TREE = whole_sql(EMB)
+PLAN = f"""sgs AS (SELECT CAST(l.i + r.i * (r.i - 1) // 2 AS INT) AS sg, CAST(l.i AS INT) AS l, CAST(r.i AS INT) AS r FROM range({SPLITS}) l(i) JOIN range({SPLITS}) r(i) ON l.i < r.i
+  UNION ALL SELECT CAST({SPLITS * (SPLITS - 1) // 2} + i AS INT), CAST(i AS INT), CAST(i AS INT) FROM range({SPLITS}) d(i))"""
+LOCAL = "WITH RECURSIVE " + ", ".join([EMB, SPLIT, PLAN]) + ", " + prim_sql(
+    """g AS MATERIALIZED (SELECT sgs.sg, a.id AS u, b.id AS v, list_distance(a.v, b.v) AS w FROM sgs JOIN s a ON a.k IN (l, r) JOIN s b ON b.k IN (l, r) AND a.id <> b.id AND (l = r OR a.k <> b.k))""",
+    "SELECT sg, id FROM sgs JOIN s ON s.k IN (l, r)",
+)
+MERGED = f"""WITH RECURSIVE {", ".join([EMB, SPLIT, PLAN])}, """ + prim_sql(
+    f"""g AS MATERIALIZED (SELECT DISTINCT CAST(sgs.sg // {FANIN} AS INT) AS sg, a.id AS u, b.id AS v, list_distance(a.v, b.v) AS w FROM sgs JOIN s a ON a.k IN (l, r) JOIN s b ON b.k IN (l, r) AND a.id <> b.id AND (l = r OR a.k <> b.k))""",
+    f"SELECT DISTINCT CAST(sg // {FANIN} AS INT) AS sg, id FROM sgs JOIN s ON s.k IN (l, r)",
+)
+ROOTS = f""", e AS MATERIALIZED (SELECT src AS a, dst AS b FROM t WHERE weight <= {HEIGHT} UNION ALL SELECT dst, src FROM t WHERE weight <= {HEIGHT}),
+ r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+ roots AS MATERIALIZED (SELECT id, max(root) AS root FROM r GROUP BY id)"""
+CUT_K = """, e AS MATERIALIZED (SELECT src AS a, dst AS b FROM k UNION ALL SELECT dst, src FROM k),
+ r(id, root) AS (SELECT id, id FROM p UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id)"""
+PAIRS = "a.id AS src, b.id AS dst, round(list_distance(a.v, b.v), 6) AS weight"
+
+ORACLES = {
+    "mst_edges": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    "mst_weight": TREE + " SELECT count(*) AS n_edges, round(sum(weight), 4) AS total FROM t",
+    "mst_topk_heaviest": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10)",
+    "mst_ties": whole_sql("p AS MATERIALIZED (SELECT p_partkey AS id, [p_size::DOUBLE] AS v FROM part WHERE p_partkey < 300)") + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    "points_scan": f"WITH {EMB} SELECT id, CAST(len(v) AS INT) AS d, round(list_sum(v), 6) AS total FROM p",
+    "points_prefix": f"WITH {EMB} SELECT id, " + ", ".join(f"round(v[{k + 1}], 6) AS x{k}" for k in range(5)) + " FROM p WHERE id < 100",
+    "point_hash": "SELECT p_partkey AS id, CAST((p_partkey * 163 + 2 * 57 + CAST(trunc(p_size + p_retailprice) AS BIGINT) + 2147483648) % 4294967296 - 2147483648 AS INT) AS hash FROM part",
+    "point_format": "SELECT p_partkey AS id, format('{}: [{:.2f}, {:.2f}]', p_partkey, p_size::DOUBLE, p_retailprice) AS shown FROM part",
+    "edge_format": whole_sql("p AS MATERIALIZED (SELECT s_suppkey AS id, [s_nationkey::DOUBLE, s_acctbal] AS v FROM supplier)") + " SELECT src, dst, format('[({} {}) {:.6f}]', src, dst, weight) AS shown FROM t",
+    "swap_bytes": "SELECT p_partkey AS id, CAST(CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS INT) AS swapped FROM (SELECT p_partkey, (p_partkey % 256) * 16777216 + (p_partkey // 256 % 256) * 65536 + (p_partkey // 65536 % 256) * 256 + p_partkey // 16777216 % 256 AS w FROM part)",
+    "split_assign": "SELECT id, CAST(k.i AS INT) AS split FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) x JOIN range(7) k(i) ON x.i >= k.i * n // 7 AND x.i < (k.i + 1) * n // 7",
+    "split_sizes": "SELECT CAST(k.i AS INT) AS split, (k.i + 1) * n // 7 - k.i * n // 7 AS n_points FROM range(7) k(i), (SELECT count(*) AS n FROM embeddings)",
+    "subgraph_plan": f"WITH {PLAN} SELECT sg, l, r, CASE WHEN l = r THEN 'complete' ELSE 'bipartite' END AS kind FROM sgs",
+    "subgraph_sizes": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, count(*) AS n_points FROM sgs JOIN s ON s.k IN (l, r) GROUP BY sg",
+    "fanin_schedule": f"WITH RECURSIVE x(r, g) AS (SELECT 0, {n_subgraphs(SPLITS)} UNION ALL SELECT r + 1, (g + {FANIN - 1}) // {FANIN} FROM x WHERE g > 1) SELECT CAST(r AS INT) AS round, CAST(g AS INT) AS groups FROM x",
+    "pairwise_distance": f"WITH {EMB} SELECT {PAIRS} FROM p a JOIN p b ON a.id < b.id",
+    "bipartite_pairs": f"WITH {EMB}, {SPLIT} SELECT {PAIRS} FROM s a JOIN s b ON a.k = 0 AND b.k = 1",
+    "mono_pairs": f"WITH {EMB}, {SPLIT} SELECT {PAIRS} FROM s a JOIN s b ON a.k = 0 AND b.k = 0 AND a.id < b.id",
+    "nearest_neighbor": f"WITH {EMB}, d AS (SELECT a.id, b.id AS near, list_distance(a.v, b.v) AS w FROM p a JOIN p b ON a.id <> b.id) SELECT id, m.near AS near, round(m.w, 6) AS weight FROM (SELECT id, min({{'w': w, 'near': near}}) AS m FROM d GROUP BY id)",
+    "local_mst_bipartite": LOCAL + f" SELECT sg, src, dst, round(weight, 6) AS weight FROM t WHERE sg < {SPLITS * (SPLITS - 1) // 2}",
+    "local_mst_complete": LOCAL + f" SELECT sg, src, dst, round(weight, 6) AS weight FROM t WHERE sg >= {SPLITS * (SPLITS - 1) // 2}",
+    "local_mst_stats": LOCAL + " SELECT sg, count(*) AS n_edges, round(sum(weight), 4) AS total FROM t GROUP BY sg",
+    "merge_round_1": MERGED + " SELECT sg AS grp, src, dst, round(weight, 6) AS weight FROM t",
+    "component_count": TREE + f" SELECT (SELECT count(*) FROM p) - count(*) AS n_components FROM t WHERE weight <= {HEIGHT}",
+    "component_root": TREE + ROOTS + " SELECT id, root FROM roots",
+    "is_connected": TREE + ROOTS + " SELECT x.id AS a, y.id AS b, x.root = y.root AS connected FROM roots x JOIN roots y ON y.id = (x.id * 7 + 3) % 500",
+    "single_linkage_labels": TREE + ", k AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src DESC, dst DESC) AS i FROM t) WHERE i > 9)" + CUT_K + " SELECT id, max(root) AS label FROM r GROUP BY id",
+    "dendrogram_merges": TREE + " SELECT row_number() OVER (ORDER BY weight, src, dst) AS step, src, dst, round(weight, 6) AS weight FROM t",
+    "split_roundtrip": f"WITH {EMB}, {SPLIT} SELECT id, k AS split, CAST(len(v) AS INT) AS d FROM s WHERE k IN (1, 3)",
+}

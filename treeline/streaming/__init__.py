@@ -1,0 +1 @@
+"""Streams. The engine's input is a finite point set, so there is no streaming operator."""
