@@ -111,12 +111,16 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with every repeated span cut out of ``text``; all columns stay. Rows with a null id stay as they are."""
-    spans = repeats(docs, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut"))
+    spans = repeats(docs, min_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cut"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("k_id"))
+    text = F.col("row.text")
+    piece = lambda acc, c: F.substring(text, acc["at"].cast("int") + 1, (c["start"] - acc["at"]).cast("int"))
     kept = F.concat(
-        F.aggregate("_cut", F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("p")), lambda acc, c: F.struct(F.concat(acc["s"], F.substring(F.col("text"), acc["p"].cast("int") + 1, (c["start"] - acc["p"]).cast("int"))).alias("s"), c["end"].alias("p")), lambda acc: acc["s"]),
-        F.substring(F.col("text"), F.element_at("_cut", -1)["end"].cast("int") + 1, F.lit(2**31 - 1)),
+        F.aggregate("cut", F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at")), lambda acc, c: F.struct(F.concat(acc["s"], piece(acc, c)).alias("s"), c["end"].alias("at")), lambda acc: acc["s"]),
+        F.substring(text, F.element_at("cut", -1)["end"].cast("int") + 1, F.lit(2**31 - 1)),
     )
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    found = rows.join(spans.withColumnRenamed("doc_id", "k_id"), "k_id", "left")
+    return found.withColumn("row", F.col("row").withField("text", F.when(F.col("cut").isNull(), text).otherwise(kept))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

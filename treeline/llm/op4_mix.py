@@ -90,11 +90,11 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), passes: int = 3, id_col: str =
 
 def mixed(docs: DataFrame) -> DataFrame:
     """docs -> its rows that the mix takes, all columns, with size, and taken: size times the passes over the row."""
-    kept = [x for x in docs.columns if x not in ("size", "taken")]
     plan = mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken").dropDuplicates(["doc_id", "source", "size"])
-    sized = docs.select(*kept, F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    kept = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in ("size", "taken")]
+    sized = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
     d, p = sized.alias("d"), plan.alias("p")
-    return d.join(p, F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source AND d.size = p.size")).select(*(f"d.`{x}`" for x in kept), "d.size", "p.taken")
+    return d.join(p, F.expr("d.doc_id <=> p.doc_id AND d.source <=> p.source AND d.size = p.size")).select("d.row.*", "d.size", "p.taken")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,15 +118,15 @@ r AS (
 c AS (SELECT rest AS common FROM r WHERE level >= rest ORDER BY level, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), weight * common) AS target FROM r, c),
 q AS (
-  SELECT d.doc_id, d.size, d.h, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.size, d.h, t.source_size, t.target,
          CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id NULLS FIRST, d.size) AS BIGINT) AS upto
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (
   SELECT *, CAST(upto + e * source_size AS DOUBLE) / target AS v
   FROM q, (SELECT unnest([0, 1, 2]) AS e) WHERE target > 0),
 o AS (
-  SELECT doc_id, h, size, e, sum(size) OVER (ORDER BY v, h, e, coalesce(CAST(doc_id AS VARCHAR), ''), size) AS total FROM k),
-n AS (SELECT doc_id, h, size, count(*) AS passes FROM o WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id, h, size)
+  SELECT doc_id, source, size, e, sum(size) OVER (ORDER BY v, h, e, coalesce(CAST(doc_id AS VARCHAR), ''), size) AS total FROM k),
+n AS (SELECT doc_id, source, size, count(DISTINCT e) AS passes FROM o WHERE total <= (SELECT sum(size) FROM d) GROUP BY doc_id, source, size)
 SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(n.passes, 0) AS BIGINT) AS taken
-FROM q LEFT JOIN n ON q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.size = n.size
+FROM q LEFT JOIN n ON q.doc_id IS NOT DISTINCT FROM n.doc_id AND q.source IS NOT DISTINCT FROM n.source AND q.size = n.size
 """

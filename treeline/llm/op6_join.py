@@ -297,15 +297,15 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without a word stay all. A null doc_id comes before others.
     """
-    mark = lambda d: d.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_text": F.xxhash64("doc_id", "text")})
     sets, found = links(docs, n, percent)
     roots = components(found).withColumnRenamed("v", "cls")
-    s = sets.select("doc_id", "n", "cls", "text_hash").join(roots, "cls", "left").withColumns({"root": F.coalesce("root", "cls"), "_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "_text": F.col("text_hash")})
-    first = s.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("_id", "_text")).alias("k")).select("k.*", F.lit(True).alias("_one"))
-    bare = s.where("root IS NULL").select("_id", "_text", F.lit(False).alias("_one")).distinct()
-    joined = mark(docs).join(first.unionByName(bare), ["_id", "_text"])
-    again = F.row_number().over(W.partitionBy("_id", "_text").orderBy("_one"))  # rows of one key are equal
-    return joined.withColumn("_again", again).where("_again = 1 OR NOT _one").select(*docs.columns)
+    none = F.lit(-(1 << 63))
+    s = sets.select("doc_id", "cls", "text_hash").join(roots, "cls", "left").select(F.coalesce("root", "cls").alias("root"), F.coalesce("doc_id", none).alias("k_id"), F.col("text_hash").alias("k_text"))
+    first = s.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("k_id", "k_text")).alias("k")).select("k.*", F.lit(True).alias("one"))
+    bare = s.where("root IS NULL").select("k_id", "k_text", F.lit(False).alias("one")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), none).alias("k_id"), F.xxhash64("doc_id", "text").alias("k_text"))
+    again = F.row_number().over(W.partitionBy("k_id", "k_text").orderBy("one"))  # rows of one key have equal ids and texts
+    return rows.join(first.unionByName(bare), ["k_id", "k_text"]).withColumn("again", again).where("again = 1 OR NOT one").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

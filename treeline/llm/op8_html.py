@@ -232,7 +232,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     made = written(ordered.mapInArrow(neighbours, f"kind int, part int, host string, page binary, before binary, {RESULT}"), "pages")
     first = made.where("kind = 1").select(F.col("part").alias("next_part"), F.col("host").alias("next_host"), F.col("page").alias("next_page"))
     parts = sorted(r[0] for r in made.where("kind = 1").select("part").collect())  # one number a partition
-    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], -1], strict=True)), "part int, next_part int")
+    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], -1], strict=False)), "part int, next_part int")
     last = made.where("kind = 2").join(F.broadcast(follows), "part").join(first, "next_part", "left")
     last = last.select("page_id", "url", "page", "before", "next_page", F.coalesce(F.col("host") == F.col("next_host"), F.lit(False)).alias("same"))
     return made.where("kind = 0").select(*FIELDS.names).unionByName(last.mapInArrow(straddling, RESULT))
