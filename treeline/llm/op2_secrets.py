@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import words
+from treeline.llm.sampling import thinned
 
 NAME = "op2_secrets"
 FIT_ROWS = 1200
@@ -308,11 +309,13 @@ def windows(rows: list[tuple[str, list[tuple[int, int]], list[int]]]) -> tuple[n
 
 def train(docs: DataFrame) -> Model:
     """docs(doc_id, text): fits on a sample that is bounded in rows and in bytes, chosen by a hash of the id."""
-    rows = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text", F.col("text").rlike(HINT).alias("hit"))
-    order = F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text")
-    hits = rows.where("hit").orderBy(*order).limit(FIT_HITS)
-    plain = rows.where("NOT hit").orderBy(*order).limit(FIT_ROWS)
-    texts = [r[0] for r in hits.select("text").collect()] + [r[0] for r in plain.select("text").collect()]
+    rows = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text")
+    hit, size = F.col("text").rlike(HINT), F.length("text")
+    n, n_hits = rows.agg(F.count("*"), F.count_if(hit)).first()
+    order = F.xxhash64("doc_id", size), F.col("doc_id"), F.md5("text")
+    texts = []
+    for most, of, which in ((FIT_HITS, n_hits, hit), (FIT_ROWS, n - n_hits, ~hit)):
+        texts += [r[0] for r in rows.where(thinned(most, of, "doc_id", size)).where(which).orderBy(*order).limit(most).select("text").collect()]
     return fit(*windows(examples(texts)))
 
 

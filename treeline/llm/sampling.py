@@ -11,6 +11,14 @@ def remainder(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def thinned(rows: int, of: int, *by: str | Column) -> Column:
+    """Whether a row is in a stretch of a hash's range that holds about twice the rows wanted.
+
+    What ``orderBy(...).limit(rows)`` then brings to the driver is bounded, however many partitions there are.
+    """
+    return F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(min(1.0, (2 * rows + 100) / max(of, 1)) * (1 << 30))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int) -> list[tuple[int, object, str]]:
     """At most ``rows`` of (doc_id, label, whole text), in the order of a hash of the id.
 
