@@ -1,7 +1,8 @@
 """Language identification with blended-spectrum n-gram presence kernels.
 
 The kernel of two texts is the mean, over n = 1, 2, 3, of the cosine of their sets of character n-grams (lower-cased;
-all characters that no landmark text has as a letter count as one separator). The n-grams counted are those of the
+all characters that no landmark text has as a letter count as one separator; letters of every script have a class of
+their own). The n-grams counted are those of the
 landmark texts, so kernels against all landmarks are one product of a presence matrix and the landmark matrix. Nyström:
 the landmarks' kernel matrix gives the feature map, on which one ridge regression per language is fitted.
 
@@ -33,15 +34,19 @@ LANDMARKS = 128
 RIDGE = 1e-3
 NONE = "und"
 LETTER = regex.compile(r"\p{L}")
-LAST = 0x2FFF  # letters beyond it share one class
+LAST = 0x10FFFF
 ORDERS = (1, 2, 3)
+DENSE = 1 << 22  # as many possible n-grams have a slot each; of more, those of the landmarks are searched
+CELLS = 1 << 24  # of a presence matrix
 
 
 @dataclass
 class Model:
     langs: list[str]
     classes: np.ndarray  # code point -> class; 0: any other
-    tables: list[np.ndarray]  # for n = 1, 2, 3: n-gram -> column, or the spare last column
+    many: int  # classes
+    grams: list[np.ndarray]  # for n = 1, 2, 3: the landmarks' n-grams in order, as numbers to the base ``many``
+    tables: list[np.ndarray | None]  # n-gram -> column, or the spare last column; None: over DENSE
     spans: list[tuple[int, int]]  # columns of each n
     landmarks: np.ndarray  # column x landmark
     weights: np.ndarray  # landmark x language
@@ -49,21 +54,36 @@ class Model:
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.classes[np.minimum(points, LAST + 1)]
+        return self.classes[points].astype(np.int64)
+
+    def columns(self, n: int, gram: np.ndarray) -> np.ndarray:
+        if self.tables[n - 1] is not None:
+            return self.tables[n - 1][gram]
+        known = self.grams[n - 1]
+        if not len(known):
+            return np.full(len(gram), self.spans[-1][1])
+        at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+        return np.where(known[at] == gram, self.spans[n - 1][0] + at, self.spans[-1][1])
+
+    def batch(self) -> int:
+        """How many texts are scored at once."""
+        return max(1, min(256, CELLS // (self.spans[-1][1] + 1)))
+
+    def ngrams(self, text: str) -> Iterator[tuple[int, np.ndarray]]:
+        one = gram = self.codes(text)
+        for n in ORDERS:
+            if len(one) < n:
+                break
+            if n > 1:
+                gram = gram[:-1] * self.many + one[n - 1 :]
+            yield n, gram
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """text x column: 1 over the root of the number of the text's n-grams of that n, where it has the n-gram."""
         out = np.zeros((len(texts), self.spans[-1][1] + 1), np.float32)
-        many = self.tables[0].size
         for row, text in zip(out, texts, strict=True):
-            one = self.codes(text)
-            gram = one
-            row[self.tables[0][gram]] = 1
-            for n in (2, 3):
-                if len(one) < n:
-                    break
-                gram = gram[:-1] * many + one[n - 1 :]
-                row[self.tables[n - 1][gram]] = 1
+            for n, gram in self.ngrams(text):
+                row[self.columns(n, gram)] = 1
         for a, b in self.spans:
             out[:, a:b] /= np.sqrt(np.maximum(out[:, a:b].sum(1, keepdims=True), 1))
         return out[:, :-1]
@@ -84,35 +104,31 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
         ranked.append((turn[r[1]], i))
     chosen = [i for _, i in sorted(ranked)[:LANDMARKS]]
     texts = [rows[i][2] for i in chosen]
-    letters = sorted({c for t in texts for c in t.lower() if c.isalpha() and ord(c) <= LAST})
-    classes = np.zeros(LAST + 2, np.int32)
+    letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
+    classes = np.zeros(LAST + 1, np.int32)
     for k, c in enumerate(letters):
         classes[ord(c)] = k + 1
     many = len(letters) + 1
-    model = Model(langs, classes, [np.zeros(many**n, np.int32) for n in ORDERS], [], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(len(langs)))
-    seen = [np.zeros(many**n, bool) for n in ORDERS]
+    model = Model(langs, classes, many, [], [], [], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(len(langs)))
+    seen: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in ORDERS]
     for t in texts:
-        one = gram = model.codes(t)
-        seen[0][gram] = True
-        for n in (2, 3):
-            if len(one) >= n:
-                gram = gram[:-1] * many + one[n - 1 :]
-                seen[n - 1][gram] = True
-    at = 0
-    for n, has in zip(ORDERS, seen, strict=True):
-        k = int(has.sum())
-        model.spans.append((at, at + k))
-        model.tables[n - 1][has] = np.arange(at, at + k)
-        at += k
-    for table, has in zip(model.tables, seen, strict=True):
-        table[~has] = at
+        for n, gram in model.ngrams(t):
+            seen[n - 1].append(np.unique(gram))
+    model.grams = [np.unique(np.concatenate(x)) for x in seen]
+    ends = np.cumsum([0, *map(len, model.grams)]).tolist()
+    model.spans = list(zip(ends[:-1], ends[1:], strict=True))
+    for n, known, first in zip(ORDERS, model.grams, ends, strict=False):
+        table = np.full(many**n, ends[-1], np.int32) if many**n <= DENSE else None
+        if table is not None:
+            table[known] = np.arange(first, first + len(known))
+        model.tables.append(table)
     marks = model.presence(texts) / len(ORDERS)
     model.landmarks = np.ascontiguousarray(marks.T.astype(np.float32))
     within = (model.presence(texts) @ model.landmarks).astype(np.float64)
     value, vector = np.linalg.eigh((within + within.T) / 2)
     big = value > max(value.max(), 0) * 1e-7
     to_features = vector[:, big] / np.sqrt(value[big])
-    kernel = np.concatenate([model.presence([r[2] for r in rows[k : k + 256]]) @ model.landmarks for k in range(0, len(rows), 256)]).astype(np.float64)
+    kernel = np.concatenate([model.presence([r[2] for r in rows[k : k + model.batch()]]) @ model.landmarks for k in range(0, len(rows), model.batch())]).astype(np.float64)
     x = kernel @ to_features
     y = np.where(np.array([r[1] for r in rows])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     mean_x, mean_y = x.mean(0), y.mean(0)
@@ -133,8 +149,9 @@ def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str],
     """Language and score of each text."""
     langs, score = [NONE] * len(texts), np.zeros(len(texts))
     able = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
-    for k in range(0, len(able), 256):
-        some = able[k : k + 256]
+    step = model.batch() if model else 1
+    for k in range(0, len(able), step):
+        some = able[k : k + step]
         got = model.scores([texts[i] for i in some])
         best = got.argmax(1)
         score[some] = np.clip((got[np.arange(len(some)), best] + 1) / 2, 0, 1)
