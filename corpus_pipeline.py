@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from treeline.llm import op2_secrets, op3_language, op4_mix, op6_join, op10_decontaminate
 from treeline.session import written
 
-#: Texts of a score under this are rejected, like those without a letter.
+#: Texts of a score under this are rejected, like those without a letter. It binds from six languages on; with fewer, texts
+#: are rejected for having too few n-grams of their language, by a threshold learnt from labelled texts.
 LEAST_SCORE = 0.2
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from treeline.llm import op3_language
 
 SCRIPTS = {"zh": "我们在学校里学习语文数学他她是的不了人有大这上国来到时候天气很好", "ja": "わたしはがっこうでべんきょうをしますとてもたのしいです学校日本語", "ko": "우리는학교에서공부를합니다매우즐겁고오늘날씨가좋습니다"}
@@ -35,3 +36,24 @@ def test_slots_and_search_give_the_same_columns(monkeypatch):
         monkeypatch.setattr(op3_language, "DENSE", dense, raising=False)
         got.append(op3_language.fit(rows).presence(texts))
     assert (got[0] == got[1]).all()
+
+
+PARTS = {"aa": "ar en il os un tra mi", "bb": "che ost ung ber ver ich", "cc": "éa oui ment que eau ré", "dd": "ski prz owa czy dzi nie"}
+
+
+def prose(r, lang, n):
+    parts = PARTS[lang].split()
+    return " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(n)) + "."
+
+
+def test_foreign_texts_and_junk_are_rejected_and_clean_texts_are_not(spark):
+    r = random.Random(6)
+    learnt = ["aa", "bb", "cc"]
+    rows = [(k, prose(r, learnt[k % 3], r.randint(10, 80)), learnt[k % 3]) for k in range(600)]
+    clean = {1000 + k: f"{prose(r, learnt[k % 3], r.randint(3, 80))} 4711 %%% !!" for k in range(90)}
+    foreign = {2000 + k: prose(r, "dd", r.randint(5, 80)) for k in range(30)}
+    junk = {3000: "xqzvk jwpqx zzkqj vvxqw kqzjx", 3001: "for (int i = 0; i < n; i++) { buf[i] = malloc(sizeof(node)); }", 3002: "人人生而自由，在尊严和权利上一律平等。", 3003: "Все люди рождаются свободными", 3004: "!!! 123", 3005: None}
+    docs = spark.createDataFrame(rows + [(k, t, None) for k, t in (clean | foreign | junk).items()], "doc_id long, text string, lang string")
+    kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert set(clean) <= kept and len(kept & {k for k, *_ in rows}) == len(rows)
+    assert not kept & set(foreign) and not kept & set(junk)

@@ -37,13 +37,19 @@ LETTER = regex.compile(r"\p{L}")
 LAST = 0x10FFFF
 ORDERS = (1, 2, 3)
 DENSE = 1 << 22  # as many possible n-grams have a slot each; of more, those of the landmarks are searched
+HELD = 20  # labelled texts outside the landmarks that a language's least share is taken from
+LONG = 30  # trigrams of such a text
+LOW = 0.01  # quantile of their shares
+TOWARDS = 1 / 3
+OF_MANY = 0.1  # of a language's landmarks must have a trigram, so that passages in another language don't count
+SIGMAS = 3
 CELLS = 1 << 24  # of a presence matrix
 
 
 @dataclass
 class Model:
     langs: list[str]
-    classes: np.ndarray  # code point -> class; 0: any other
+    classes: np.ndarray  # code point -> class; 0: no letter; -1: a letter that no landmark has
     many: int  # classes
     grams: list[np.ndarray]  # for n = 1, 2, 3: the landmarks' n-grams in order, as numbers to the base ``many``
     tables: list[np.ndarray | None]  # n-gram -> column, or the spare last column; None: over DENSE
@@ -51,10 +57,28 @@ class Model:
     landmarks: np.ndarray  # column x landmark
     weights: np.ndarray  # landmark x language
     bias: np.ndarray
+    having: np.ndarray | None = None  # language x column: how many of its landmarks have the trigram
+    times: np.ndarray | None = None  # of each language: how many of them must have it
+    least: np.ndarray | None = None  # of each language: the share of known trigrams that a text of it must have
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        return self.classes[points].astype(np.int64)
+        return np.maximum(self.classes[points], 0).astype(np.int64)
+
+    def known(self, text: str, lang: int, itself: int = 0) -> tuple[int, int]:
+        """How many of the text's trigrams the language's landmarks have (itself: is it one of them?), and how many have a letter."""
+        points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+        one = self.classes[points].astype(np.int64)
+        every = one[:-2] | one[1:-1] | one[2:]  # negative where a letter is strange
+        at = np.flatnonzero(every > 0)
+        gram = (one[at] * self.many + one[at + 1]) * self.many + one[at + 2]
+        return int((self.having[lang, self.columns(3, gram)] >= self.times[lang] + itself).sum()), int(np.count_nonzero(every))
+
+    def foreign(self, text: str, lang: int) -> bool:
+        """Whether fewer of the text's trigrams are known than must be, by more than chance in a text of its length."""
+        has, n = self.known(text, lang)
+        p = self.least[lang]
+        return has + SIGMAS * np.sqrt(n * p * (1 - p)) < n * p
 
     def columns(self, n: int, gram: np.ndarray) -> np.ndarray:
         if self.tables[n - 1] is not None:
@@ -105,7 +129,7 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
     chosen = [i for _, i in sorted(ranked)[:LANDMARKS]]
     texts = [rows[i][2] for i in chosen]
     letters = sorted({c for t in texts for c in t.lower() if c.isalpha()})
-    classes = np.zeros(LAST + 1, np.int32)
+    classes = np.array([-c.isalpha() for c in map(chr, range(LAST + 1))], np.int32)
     for k, c in enumerate(letters):
         classes[ord(c)] = k + 1
     many = len(letters) + 1
@@ -136,9 +160,37 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
     beta = np.linalg.solve(x0.T @ x0 + RIDGE * len(rows) * np.eye(x.shape[1]), x0.T @ (y - mean_y))
     model.weights = (to_features @ beta).astype(np.float32)
     model.bias = (mean_y - mean_x @ beta).astype(np.float32)
+    first, last = model.spans[-1]
+    of = np.array([langs.index(rows[i][1]) for i in chosen])
+    model.times = np.array([max(1, round(OF_MANY * (of == k).sum())) for k in range(len(langs))])
+    model.having = np.zeros((len(langs), last + 1), np.int32)
+    for k in range(len(langs)):
+        model.having[k, first:last] = (model.landmarks[first:last, of == k] > 0).sum(1)
+    model.least = np.array([least_share(model, k, rows, set(chosen)) for k in range(len(langs))])
     return model
 
 
+def least_share(model: Model, lang: int, rows: list[tuple[int, str, str]], chosen: set[int]) -> float:
+    """The share of known trigrams that a text of the language must have, between its labelled texts and the others'.
+
+    It lies TOWARDS of the way from what all but the LOW lowest of its own texts have to the median of the texts in other
+    languages; without these, to 0. Its own texts are those that are no landmarks; where they are fewer than HELD,
+    landmarks count too, each against the others.
+    """
+
+    def shares(got: list[tuple[int, int]]) -> list[float]:
+        return [has / n for has, n in got if n >= LONG] or [has / n for has, n in got if n]
+
+    own = [i for i, r in enumerate(rows) if r[1] == model.langs[lang]]
+    out = [i for i in own if i not in chosen]
+    got = [model.known(rows[i][2], lang) for i in out]
+    if len(out) < HELD:
+        got += [model.known(rows[i][2], lang, 1) for i in own if i in chosen]
+    low = np.quantile(shares(got), LOW, method="lower") if shares(got) else 0.0
+    others = shares([model.known(r[2], lang) for r in rows if r[1] != model.langs[lang]])
+    return float(low - TOWARDS * max(0.0, low - (np.median(others) if others else 0.0)))
+
+
 def train(docs: DataFrame, rows: int = FIT_ROWS, most_chars: int = FIT_CHARS) -> Model | None:
     """docs(doc_id, text, lang): learns from rows whose remainder is not 0 and whose lang is known."""
     labels = docs.where(F.col("lang").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
@@ -180,13 +232,19 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows of docs whose text has a language with a score of at least ``least``; all columns stay."""
+    """The rows of docs whose text is in a language that was learnt, with a score of at least ``least``; all columns stay.
+
+    The score alone rejects little: the languages' outputs add up to 2 - L, so the best of L scores is 1 / L at least. What
+    tells a foreign text or junk is that too few of its trigrams are known from the language it was given (Model.foreign).
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            langs, score = predicted(shared.value, part.column("text").to_pylist())
-            yield part.filter(pa.array([x != NONE and s >= least for x, s in zip(langs, score, strict=True)], pa.bool_()))
+            model, texts = shared.value, part.column("text").to_pylist()
+            langs, score = predicted(model, texts)
+            keep = [x != NONE and s >= least and not model.foreign(t, model.langs.index(x)) for t, x, s in zip(texts, langs, score, strict=True)]
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
