@@ -104,6 +104,15 @@ def mono_pairs(spark, d):
     return between(spark, d, 0, 0)
 
 
+def subgraph_pairs(spark, d):
+    """The distances of every subgraph: those of pairs in two splits, and those within a split."""
+    p = with_splits(vectors(spark, d), SPLITS)
+    a, b = (p.select(F.col("id").alias(i), F.col("coords").alias(c), F.col("split").alias(k)) for i, c, k in (("src", "a", "k"), ("dst", "b", "m")))
+    l, r = F.least("k", "m"), F.greatest("k", "m")
+    sg = F.when(l == r, l + SPLITS * (SPLITS - 1) // 2).otherwise(l + F.floor(r * (r - 1) / 2)).cast("int")
+    return rounded(a.join(b, F.col("src") < F.col("dst")).select(sg.alias("sg"), "src", "dst", G.point_distance(F.col("src"), F.col("a"), F.col("dst"), F.col("b")).alias("weight")))
+
+
 def nearest_neighbor(spark, d):
     e = all_pairs(vectors(spark, d))
     both = e.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("near"), "weight"))
@@ -139,6 +148,10 @@ def mst_ties(spark, d):
     return rounded(mst(read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size").where("id < 300"), 3, 2))
 
 
+def mst_ties_whole(spark, d):
+    return rounded(mst(read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size"), SPLITS, FANIN))
+
+
 def mst_weight(spark, d):
     return tree(spark, d).agg(F.count("*").alias("n_edges"), F.round(F.sum("weight"), 4).alias("total"))
 
@@ -161,6 +174,12 @@ def is_connected(spark, d):
     return C.connected(pairs, component_root(spark, d))
 
 
+def is_connected_whole(spark, d):
+    ids = vectors(spark, d).select("id")
+    pairs = ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))).select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % F.col("n")).alias("b"))
+    return C.connected(pairs, component_root(spark, d))
+
+
 def single_linkage_labels(spark, d):
     return C.labels_of(vectors(spark, d).select("id"), tree(spark, d), 10)
 
@@ -178,8 +197,8 @@ def split_roundtrip(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mst_edges, mst_weight, mst_topk_heaviest, mst_ties, points_scan, points_prefix, point_hash, point_format, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
-        pairwise_distance, bipartite_pairs, mono_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, single_linkage_labels, dendrogram_merges, split_roundtrip,
+        mst_edges, mst_weight, mst_topk_heaviest, mst_ties, mst_ties_whole, points_scan, points_prefix, point_hash, point_format, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
+        pairwise_distance, bipartite_pairs, mono_pairs, subgraph_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, is_connected_whole, single_linkage_labels, dendrogram_merges, split_roundtrip,
     )
 }
 
@@ -232,6 +251,9 @@ ORACLES = {
     "mst_weight": TREE + " SELECT count(*) AS n_edges, round(sum(weight), 4) AS total FROM t",
     "mst_topk_heaviest": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10)",
     "mst_ties": whole_sql("p AS MATERIALIZED (SELECT p_partkey AS id, [p_size::DOUBLE] AS v FROM part WHERE p_partkey < 300)") + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    # On a line, equal points hang on the least of their ids, and each group's least on that of the next group.
+    "mst_ties_whole": "WITH g AS (SELECT p_size AS x, min(p_partkey) AS id FROM part GROUP BY p_size) SELECT g.id AS src, p_partkey AS dst, 0.0::DOUBLE AS weight FROM part JOIN g ON p_size = x WHERE p_partkey <> g.id"
+    " UNION ALL SELECT least(id, i), greatest(id, i), (y - x)::DOUBLE FROM (SELECT id, x, lead(id) OVER (ORDER BY x) AS i, lead(x) OVER (ORDER BY x) AS y FROM g) WHERE i IS NOT NULL",
     "points_scan": f"WITH {EMB} SELECT id, CAST(len(v) AS INT) AS d, round(list_sum(v), 6) AS total FROM p",
     "points_prefix": f"WITH {EMB} SELECT id, " + ", ".join(f"round(v[{k + 1}], 6) AS x{k}" for k in range(5)) + " FROM p WHERE id < 100",
     "point_hash": "SELECT p_partkey AS id, CAST((p_partkey * 163 + 2 * 57 + CAST(trunc(p_size + p_retailprice) AS BIGINT) + 2147483648) % 4294967296 - 2147483648 AS INT) AS hash FROM part",
@@ -246,6 +268,7 @@ ORACLES = {
     "pairwise_distance": f"WITH {EMB} SELECT {PAIRS} FROM p a JOIN p b ON a.id < b.id",
     "bipartite_pairs": f"WITH {EMB}, {SPLIT} SELECT {PAIRS} FROM s a JOIN s b ON a.k = 0 AND b.k = 1",
     "mono_pairs": f"WITH {EMB}, {SPLIT} SELECT {PAIRS} FROM s a JOIN s b ON a.k = 0 AND b.k = 0 AND a.id < b.id",
+    "subgraph_pairs": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, {PAIRS} FROM s a JOIN s b ON a.id < b.id JOIN sgs ON l = least(a.k, b.k) AND r = greatest(a.k, b.k)",
     "nearest_neighbor": f"WITH {EMB}, d AS (SELECT a.id, b.id AS near, list_distance(a.v, b.v) AS w FROM p a JOIN p b ON a.id <> b.id) SELECT id, m.near AS near, round(m.w, 6) AS weight FROM (SELECT id, min({{'w': w, 'near': near}}) AS m FROM d GROUP BY id)",
     "local_mst_bipartite": LOCAL + f" SELECT sg, src, dst, round(weight, 6) AS weight FROM t WHERE sg < {SPLITS * (SPLITS - 1) // 2}",
     "local_mst_complete": LOCAL + f" SELECT sg, src, dst, round(weight, 6) AS weight FROM t WHERE sg >= {SPLITS * (SPLITS - 1) // 2}",
@@ -254,6 +277,7 @@ ORACLES = {
     "component_count": TREE + f" SELECT (SELECT count(*) FROM p) - count(*) AS n_components FROM t WHERE weight <= {HEIGHT}",
     "component_root": TREE + ROOTS + " SELECT id, root FROM roots",
     "is_connected": TREE + ROOTS + " SELECT x.id AS a, y.id AS b, x.root = y.root AS connected FROM roots x JOIN roots y ON y.id = (x.id * 7 + 3) % 500",
+    "is_connected_whole": TREE + ROOTS + " SELECT x.id AS a, y.id AS b, x.root = y.root AS connected FROM roots x JOIN roots y ON y.id = (x.id * 7 + 3) % (SELECT count(*) FROM p)",
     "single_linkage_labels": TREE + ", k AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src DESC, dst DESC) AS i FROM t) WHERE i > 9)" + CUT_K + " SELECT id, max(root) AS label FROM r GROUP BY id",
     "dendrogram_merges": TREE + " SELECT row_number() OVER (ORDER BY weight, src, dst) AS step, src, dst, round(weight, 6) AS weight FROM t",
     "split_roundtrip": f"WITH {EMB}, {SPLIT} SELECT id, k AS split, CAST(len(v) AS INT) AS d FROM s WHERE k IN (1, 3)",
