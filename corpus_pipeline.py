@@ -53,7 +53,7 @@ STAGES = [
     ("mix_sources", mix_sources),
 ]
 
-#: Three stages learn models or compare texts in ways that SQL can't express; tests hold them against brute force.
+#: Three stages learn models or compare texts in ways that SQL can't express; a test holds each stage against planted rows.
 ORACLE_SQL = None
 
 
