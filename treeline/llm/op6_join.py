@@ -3,22 +3,27 @@
 A document is the set of its distinct n-word shingles; two link when their Jaccard similarity reaches the threshold.
 Documents with equal sets form one class, and classes are joined:
 
-1. One pass counts shingles. Those in more than ``rare`` documents (more, once there are very many documents, so that
-   the list of them stays under FREQUENT_BOUND and can be broadcast) are the frequent class, all others the rare one.
-2. A second pass orders each set by class, rare first, and by hash. Two sets that link share at least two shingles of
-   the first n - ceil(t * n) + 2 of either. Of these, rare shingles are indexed singly and frequent ones in pairs: a pair
-   of documents that shares no rare one shares two frequent ones. Each set also gives parity bits, one or two a shingle.
-3. Lists of up to SHORT classes with one key give all their pairs. Longer lists are divided by set size, into bands that
-   overlap; those still longer first give the pairs of each member and six pivots. Pairs must pass the length bound and
-   the parity bound (the bits in which two sets differ are at most the shingles in which they differ) before the sets
-   themselves are compared.
+1. One pass counts shingles, over sets that differ. Those in more than ``rare`` of them are the frequent class, all
+   others the rare one. (A list of at most FREQUENT_BOUND is broadcast; what it leaves out counts as rare. The result
+   doesn't depend on who is in which class.)
+2. A second pass orders each set by class, rare first, and by hash. Two sets of a and b shingles that link share ``need``
+   of them, so the first shingle that they share is among the first a - need + 1 of the one and b - need + 1 of the other.
+   If it is rare, both index it singly. If it is frequent, all that they share is, and the first r + G + 1 - need of the r
+   frequent shingles of either hold G + 1 in common. These are dealt to G groups by hash; two shared ones meet in one
+   group, so only pairs within a group are indexed. With G near a - need, a set has some 3 (a - need) keys at most.
+   G depends on the size of the larger set; a set near a step of G has keys for both. Each set also gives parity bits,
+   one or two a shingle.
+3. Keys that lead to the same list of sets count once. Lists of up to SHORT classes give all their pairs. Longer lists are
+   divided by set size, into bands that overlap; those still longer first give the pairs of each member and six pivots.
+   Pairs must pass the length bound and the parity bound (the bits in which two sets differ are at most the shingles in
+   which they differ) before the sets themselves are compared.
 4. Members of a long list that these links did not bring together are compared, parity bits only, in blocks of BLOCK by
    BLOCK; the few pairs that pass have their sets compared as well. So no list is skipped or cut, no group is held in
    one task, and links inside what is already connected aren't enumerated.
 5. Components of the links by star contraction.
 
-Shingles are compared by 64-bit hashes, and sets by 32 bits of these; a chance meeting of two hashes can matter only for
-a pair that misses the threshold by one shingle.
+Sets are compared by 64-bit hashes of their shingles. They are never stored: a comparison reads the texts of the
+documents that it needs again, so ``docs`` should be a table, not a long plan.
 
 Defined results for odd input: null text and text without a word give an empty set, linked with nothing; fewer words
 than n make one shingle; repeated rows are documents of one class; a null doc_id takes part, and its component has the
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from treeline.llm import words
 from treeline.llm.components import components
-from treeline.session import written
+from treeline.session import release, written
 
 NAME = "op6_jaccard_join"
 RARE = 64
@@ -48,6 +53,7 @@ BLOCK = 256
 LEAST_BITS = 512  # parity bits of a set
 PIVOTS = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x7FB5D329728EA185)
 SLOTS = 1 << 20
+HELD = 2_000_000  # shingles that are counted together
 
 
 def shingle_sets(texts: list[str | None], n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -70,45 +76,84 @@ def class_of(s: np.ndarray) -> int:
 
 
 def counter(n: int):
-    """Shingles that occur in at least two texts of a stretch of a partition, with the number of texts."""
+    """Shingles that occur in at least two different sets of a stretch of a partition, with the number of these sets."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, size = np.zeros(HELD, np.uint64), 0
+        seen: set[int] = set()
 
-        def counts() -> pa.RecordBatch:
-            value, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
+        def counts(x: np.ndarray) -> pa.RecordBatch:
+            x.sort()
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            times = np.diff(np.append(first, len(x)))
             some = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(value[some].view(np.int64)), pa.array(times[some])], names=["shingle", "times"])
+            return pa.RecordBatch.from_arrays([pa.array(x[first[some]].view(np.int64)), pa.array(times[some])], names=["shingle", "times"])
 
-        size = 0
         for part in parts:
             for _, s in shingle_sets(part.column("text").to_pylist(), n):
-                held.append(s)
-                size += len(s)
-                if size > 4_000_000:
-                    yield counts()
+                cls = class_of(s)
+                if cls in seen:
+                    continue
+                if size + len(s) > HELD and size:
+                    yield counts(held[:size])
                     size = 0
-        if held:
-            yield counts()
+                    seen.clear()
+                seen.add(cls)
+                if len(s) <= HELD:  # a longer text has no stretch to share
+                    held[size : size + len(s)] = s
+                    size += len(s)
+        if size:
+            yield counts(held[:size])
 
     return run
 
 
+def needed(n: int, percent: int) -> int:
+    """How many shingles a set of n shares at least with one that it links to."""
+    return -(-percent * n // 100)
+
+
+def groups_of(n: int, percent: int) -> int:
+    """Into how many groups frequent shingles are dealt where n is the size of the larger set; 0: they are indexed singly."""
+    need = needed(n, percent)
+    most = min(max(1, n - need), need - 1)
+    return 1 << (most.bit_length() - 1) if most > 0 else 0
+
+
+def pairs_within(s: np.ndarray, groups: int) -> np.ndarray:
+    """Keys of the pairs of shingles that are dealt to one group."""
+    group = (words.mix(s ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(32)) & np.uint64(groups - 1)
+    order = np.argsort(group, kind="stable")
+    s, group = s[order], group[order]
+    salt, out = words.mix(np.full(1, groups, np.uint64)), [np.zeros(0, np.uint64)]
+    for lag in range(1, len(s)):
+        at = np.flatnonzero(group[lag:] == group[:-lag])
+        if not len(at):
+            break
+        out.append(words.mix(words.mix(s[at] + salt) + s[at + lag]))
+    return np.concatenate(out)
+
+
 def keys_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The index keys of a set: rare shingles of its prefix, and pairs of frequent ones. s, frequent: sorted."""
     n = len(s)
-    need = -(-percent * n // 100)
+    need = needed(n, percent)
     if n * 100 < percent * (n + 1):  # no other set can link: one more or one less is too far
         return np.zeros(0, np.uint64)
     often = np.zeros(n, bool)
     if len(frequent):
         often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
     rare, late = s[~often], s[often]
-    prefix = n - need + 2
-    rare, late = rare[:prefix], late[: max(0, prefix - len(rare))]
-    i, j = np.triu_indices(len(late), 1)
-    return np.concatenate([rare, words.mix(words.mix(late[i]) + late[j])])
+    keys = [rare[: n - need + 1]]
+    if len(rare) <= n - need:  # else the frequent ones alone are too few for a link
+        groups, most = groups_of(n, percent), groups_of(100 * n // percent, percent)
+        while True:
+            first = late[: len(late) - need + groups + 1]
+            keys.append(pairs_within(first, groups) if groups else first)
+            if groups >= most:
+                break
+            groups = max(1, groups * 2)
+    return np.concatenate(keys)
 
 
 def parity(s: np.ndarray) -> bytes:
@@ -126,7 +171,8 @@ def folded(bits: bytes, size: int) -> np.ndarray:
     return x
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("toks", pa.binary()), ("bits", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
+AT_ONCE = 500_000  # keys in a batch
 
 
 def indexer(shared, n: int, percent: int):
@@ -134,11 +180,11 @@ def indexer(shared, n: int, percent: int):
         frequent = shared.value
         for part in parts:
             ids, hashes, texts = part.column("doc_id"), part.column("text_hash"), part.column("text").to_pylist()
-            out: dict[str, list] = {c: [] for c in SETS.names}
-            first = 0
+            out: dict[str, list] = {c: [] for c in ("n", "cls", "keys", "bits")}
+            first = size = 0
 
             def batch(stop: int) -> pa.RecordBatch:
-                made = pa.RecordBatch.from_pydict(out | {"doc_id": ids.slice(first, stop - first), "text_hash": hashes.slice(first, stop - first)}, schema=SETS)  # noqa: B023
+                made = pa.RecordBatch.from_pydict({"doc_id": ids.slice(first, stop - first), "text_hash": hashes.slice(first, stop - first)} | out, schema=SETS)  # noqa: B023
                 for x in out.values():  # noqa: B023
                     x.clear()
                 return made
@@ -149,11 +195,11 @@ def indexer(shared, n: int, percent: int):
                 out["n"].append(len(s))
                 out["cls"].append(class_of(s) if len(s) else None)
                 out["keys"].append(keys.view(np.int64) if linked else None)
-                out["toks"].append((s >> np.uint64(32)).astype("<u4").tobytes() if linked else None)
                 out["bits"].append(parity(s) if linked else None)
-                if len(out["n"]) == 1000:
+                size += len(keys)
+                if size > AT_ONCE:
                     yield batch(k + 1)
-                    first = k + 1
+                    first, size = k + 1, 0
             if first < len(texts):
                 yield batch(len(texts))
 
@@ -184,25 +230,41 @@ def comparer(percent: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             good = []
-            for x, y, n, m in zip(*(part.column(c).to_pylist() for c in ("toks_a", "toks_b", "n_a", "n_b")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), assume_unique=True))
+            for x, y, n, m in zip(part.column("set_a"), part.column("set_b"), part.column("n_a").to_pylist(), part.column("n_b").to_pylist(), strict=True):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if len(a) > len(b):
+                    a, b = b, a
+                both = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
                 good.append(100 * both >= percent * (n + m - both))
             yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     return run
 
 
-def compared(pairs: DataFrame, sets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b, n_a, n_b), those whose sets link."""
+def setter(n: int):
+    """The sets themselves, as bytes."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            made = [s.tobytes() for _, s in shingle_sets(part.column("text").to_pylist(), n)]
+            yield part.drop_columns(["text"]).append_column("s", pa.array(made, pa.binary()))
+
+    return run
+
+
+def compared(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs(a, b, n_a, n_b), those whose sets link. rows: doc_id, text, text_hash."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    owners = written(wanted.join(reps.select("cls", "doc_id", "text_hash"), "cls"), "owners")
     # At most SLOTS rows: spares the shuffle most sets that no pair needs, as long as the pairs are few.
-    slots = wanted.select(F.pmod("cls", F.lit(SLOTS)).alias("slot")).distinct()
-    few = sets.where("toks IS NOT NULL").join(F.broadcast(slots), F.pmod("cls", F.lit(SLOTS)) == F.col("slot"), "left_semi")
-    owners = wanted.join(reps.select("cls", "doc_id"), "cls")
-    s, o = few.alias("s"), owners.alias("o")
-    blobs = s.join(o, F.expr("s.cls = o.cls AND s.doc_id <=> o.doc_id")).select("s.cls", "s.toks")
-    side = lambda x: blobs.select(F.col("cls").alias(x), F.col("toks").alias(f"toks_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(comparer(percent), "a long, b long").distinct()
+    slots = owners.select(F.pmod("text_hash", F.lit(SLOTS)).alias("slot")).distinct()
+    few = rows.join(F.broadcast(slots), F.pmod("text_hash", F.lit(SLOTS)) == F.col("slot"), "left_semi")
+    s, o = few.select("doc_id", "text_hash", "text").mapInArrow(setter(n), "doc_id long, text_hash long, s binary").alias("s"), owners.alias("o")
+    blobs = s.join(o, F.expr("s.text_hash = o.text_hash AND s.doc_id <=> o.doc_id")).select("o.cls", "s.s").dropDuplicates(["cls"])  # one of rows that are equal
+    side = lambda x: blobs.select(F.col("cls").alias(x), F.col("s").alias(f"set_{x}"))
+    out = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(comparer(percent), "a long, b long").distinct(), "links")
+    release(owners)
+    return out
 
 
 def screen(percent: int):
@@ -241,46 +303,56 @@ def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (sets(doc_id, n, cls, ...) with one row per document, links(a, b) of classes that connect).
+    """docs(doc_id, text) -> (sets(doc_id, text_hash, n, cls) with one row per document, links(a, b) of classes that connect).
 
     Every two classes that link are connected by the links, though not each such pair is among them.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("text_hash"))
-    often = max(rare, rows.select("doc_id").count() // 20_000)
-    counts = rows.select("text").mapInArrow(counter(n), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > often)
-    frequent = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT_BOUND).toPandas()["shingle"].to_numpy(np.int64)
+    counts = written(rows.select("text").mapInArrow(counter(n), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > rare), "counts")
+    frequent = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT_BOUND).select("shingle").toArrow().column(0).to_numpy()
+    release(counts)
     shared = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
-    kinds = "doc_id long, text_hash long, n long, cls long, keys array<long>, toks binary, bits binary"
-    sets = written(rows.mapInArrow(indexer(shared, n, percent), kinds), "sets")
-    reps = written(sets.where("keys IS NOT NULL").drop("toks").dropDuplicates(["cls"]), "classes")
-    posted = reps.select("cls", "n", F.explode("keys").alias("key"))
-    sizes = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = written(posted.join(sizes, "key"), "lists")
-    pairs = short_pairs(live, percent)
+    made = written(rows.mapInArrow(indexer(shared, n, percent), "doc_id long, text_hash long, n long, cls long, keys array<long>, bits binary"), "sets")
+    sets = written(made.select("doc_id", "text_hash", "n", "cls"), "sets")
+    reps = written(made.where("keys IS NOT NULL").drop("keys").dropDuplicates(["cls"]), "classes")
+    posted = made.select("cls", "n", F.explode("keys").alias("key"))
+    several = posted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    live = written(posted.join(several, "key").distinct(), "lists")
+    release(made)
+    # Of keys with the same list, the least.
+    alike = live.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).groupBy("size", "x", "y").agg(F.min("key").alias("key"))
+    lists = written(live.join(alike.select("key", "size"), "key"), "lists")
+    release(live)
+    pairs = short_pairs(lists, percent)
     # Long lists fall apart by size: two sets that link lie in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
-    banded = live.where(F.col("size") > SHORT).select("cls", "n", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
+    banded = lists.where(F.col("size") > SHORT).select("cls", "n", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
     pivots = [F.min(F.col("cls").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"p{k}") for k, x in enumerate(PIVOTS)]
     sizes = banded.groupBy("key").agg(F.count("*").alias("size"), *pivots).where("size > 1")
     banded = written(banded.join(sizes, "key").select("key", "cls", "n", "size", F.array(*[f"p{k}" for k in range(len(PIVOTS))]).alias("pivots")), "lists")
     long = banded.where(F.col("size") > SHORT)
     star = long.select("cls", F.explode(F.array_distinct("pivots")).alias("p")).where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
     pairs = pairs.unionByName(short_pairs(banded, percent)).unionByName(star).distinct()
-    first = written(compared(written(likely(pairs, reps, percent), "pairs"), sets, reps, percent), "links")
+    near = written(likely(pairs, reps, percent), "pairs")
+    release(lists)
+    first = compared(near, rows, reps, n, percent)
+    release(near)
     # Labels for the second round: the least class two steps away. They need not be complete, they only spare comparisons.
     both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    label = both.join(near.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    label = label.join(near.withColumnRenamed("label", "own"), "a").select(F.col("a").alias("cls"), F.least("label", "own").alias("label"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    label = both.join(least.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
+    label = label.join(least.withColumnRenamed("label", "own"), "a").select(F.col("a").alias("cls"), F.least("label", "own").alias("label"))
     known = written(long.select("key", "cls", "size").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    release(banded, least)
     open_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     blocks = F.ceil(F.col("size") / BLOCK)
     part = known.join(open_keys, "key").join(reps.select("cls", "n", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     part = part.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "cls", "label", "n", "bits")
     rest = part.groupBy("key", "i", "j").applyInArrow(screen(percent), "a long, b long").distinct()
     rest = written(rest.select("a", "b").join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"), "pairs")
-    return sets, first.unionByName(compared(rest, sets, reps, percent))
+    release(known)
+    return sets, first.unionByName(compared(rest, rows, reps, n, percent))
 
 
 def groups(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 
 P = 0x9E3779B97F4A7C15
 Q = pow(P, -1, 1 << 64)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 class _Powers:
