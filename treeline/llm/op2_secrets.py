@@ -3,17 +3,19 @@
 Tokens are runs of letters, digits and ``_ + / . -``. The field tags each as Begin, Inside or Outside of a secret from its
 shape (length, character classes, changes of class), the words before and after it, what stands between, and features
 of the whole file (shares of digits and of symbols). It is fitted by maximum likelihood on windows of a bounded sample:
-pattern matches in at most FIT_HITS + FIT_ROWS documents are the labels, and windows in which the match is replaced
-by invented secrets of other forms, and others with invented harmless strings, widen what is learnt.
+pattern matches in at most FIT_HITS + FIT_ROWS documents are the labels, and windows with invented secrets of other
+forms, and others with invented harmless strings that look like them (UUIDs, ids in URLs, hashes, file names), widen what
+is learnt. The sample is drawn from a stretch of a hash's range that holds some 2 * POOL documents.
 
 Every text is decoded whole. A token whose lead of Outside exceeds all that transitions can win back is Outside in every
 best tagging, so Viterbi runs on the stretches between such tokens and finds the best tagging of the whole text.
 
-Spans are kind:start:end in code points, end exclusive. Pattern spans always stay; a tagged span that meets none of
-them is added with kind ``crf``.
+Spans are kind:start:end in code points, end exclusive. Pattern spans always stay; of a tagged span, the parts outside
+of them are added with kind ``crf``, as far as they have a letter or digit.
 
-Defined results for odd input: null text counts as empty, which has no spans; repeated rows are scanned each; an empty
-table gives no rows and fits nothing but invented windows; other columns are ignored.
+Defined results for odd input: null text counts as empty, which has no spans; texts of any length are decoded whole; of
+equally good taggings, the one with the lower tag last; repeated rows are scanned each; an empty table gives no rows and
+fits nothing but invented windows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ NAME = "op2_secrets"
 FIT_ROWS = 1200
 FIT_HITS = 600
 FIT_CHARS = 20_000
+POOL = 20_000
+INVENTED = 2400
 WINDOW = 25
 EPOCHS = 60
 
@@ -71,6 +75,8 @@ CLASS = np.full(256, 4, np.uint8)  # 0 digit, 1 upper case, 2 lower case, 3 symb
 for _i in range(128):
     CLASS[_i] = 0 if chr(_i).isdigit() else 1 if chr(_i).isupper() else 2 if chr(_i).islower() else 3
 IS_HEX = np.array([chr(i) in "0123456789abcdefABCDEF" for i in range(256)])
+IS_DASH = np.array([chr(i) == "-" for i in range(256)])
+DASHES = 6
 BETWEEN = ["=", ":", "\"'`", "\n", "<>()[]{};,", "@&?%#$*"]
 WORD_BITS = 14
 SHARES = 6
@@ -84,8 +90,8 @@ LENGTHS = [4, 6, 9, 12, 16, 20, 24, 32, 40, 64]
 PARTS = [0.001, 0.15, 0.35, 0.7, 0.999]
 CHANGES = [1, 2, 3, 5, 8, 12]
 SIZES = (len(LENGTHS) + 1, len(PARTS) + 1, len(PARTS) + 1, len(PARTS) + 1, 3, len(CHANGES) + 1, 2)
-#: Slots: single shape features, joint ones, words before (two) and after, between, file.
-BASES = np.cumsum([0, *SIZES, SIZES[0] * SIZES[5] * 2, SIZES[0] * SIZES[1] * SIZES[2], 1 << WORD_BITS, 1 << WORD_BITS, 1 << WORD_BITS, 1 << len(BETWEEN), 1 << len(BETWEEN), SIZES[0] * (1 << len(BETWEEN)), SHARES, SHARES, 1])
+#: Slots: single shape features, joint ones, dashes (with: nothing but hex besides), words before (two) and after, between, file.
+BASES = np.cumsum([0, *SIZES, SIZES[0] * SIZES[5] * 2, SIZES[0] * SIZES[1] * SIZES[2], 2 * DASHES, 1 << WORD_BITS, 1 << WORD_BITS, 1 << WORD_BITS, 1 << len(BETWEEN), 1 << len(BETWEEN), SIZES[0] * (1 << len(BETWEEN)), SHARES, SHARES, 1])
 N_SLOTS = int(BASES[-1])
 
 
@@ -110,6 +116,8 @@ def tokens_of(texts: list[str | None]) -> Iterator[tuple[words.Block, np.ndarray
             np.where(part[4] > 0, 2, (part[3] > 0).astype(int)), buckets(change, CHANGES), (count(IS_HEX[b.raw], b.start, b.stop) == size).astype(int),
         ]
         shape += [(shape[0] * SIZES[5] + shape[5]) * 2 + shape[6], (shape[0] * SIZES[1] + shape[1]) * SIZES[2] + shape[2]]
+        dashes = count(IS_DASH[b.raw], b.start, b.stop)
+        shape.append(np.minimum(dashes, DASHES - 1) * 2 + (count(IS_HEX[b.raw], b.start, b.stop) + dashes == size))
         owner = b.owner()
         word = (b.value >> np.uint64(64 - WORD_BITS)).astype(np.int64)
         alone = np.concatenate([[True], owner[1:] != owner[:-1]])  # the first token of its text
@@ -148,7 +156,7 @@ def fit(slots: np.ndarray, tags: np.ndarray, sizes: np.ndarray, epochs: int = EP
     """Maximum likelihood with Adam. slots: window x place x feature, tags: window x place, sizes: places used of each window."""
     n, width, k = slots.shape
     used = np.arange(width)[None] < sizes[:, None]
-    flat = slots[used].ravel()
+    flat = [np.ascontiguousarray(slots[..., f][used]) for f in range(k)]
     theta = [np.zeros((N_SLOTS, 3)), np.zeros((3, 3)), np.zeros(3)]
     seen = np.zeros((n, width, 3))
     seen[np.arange(n)[:, None], np.arange(width)[None], tags] = 1
@@ -159,7 +167,9 @@ def fit(slots: np.ndarray, tags: np.ndarray, sizes: np.ndarray, epochs: int = EP
     first, second = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, epochs + 1):
         weight, move, start = theta
-        score = weight[slots].sum(2)
+        score = np.zeros((n, width, 3))
+        for f in range(k):
+            score += weight[slots[..., f]]
         alpha, beta = np.zeros((n, width, 3)), np.zeros((n, width, 3))
         alpha[:, 0] = start + score[:, 0]
         for t in range(1, width):
@@ -180,7 +190,8 @@ def fit(slots: np.ndarray, tags: np.ndarray, sizes: np.ndarray, epochs: int = EP
             x = alpha[:, t, :, None] + move[None] + (score[:, t + 1] + beta[:, t + 1])[:, None, :] - norm[:, None, None]
             g[1] += (np.exp(x) * used[:, t + 1, None, None]).sum(0) / n
         for y in range(3):
-            g[0][:, y] = np.bincount(flat, np.repeat(gap[..., y][used], k), N_SLOTS)
+            own = gap[..., y][used]
+            g[0][:, y] = sum(np.bincount(x, own, N_SLOTS) for x in flat)
         for i in range(3):
             g[i] += ridge / 100 * theta[i]
             first[i] = 0.9 * first[i] + 0.1 * g[i]
@@ -234,24 +245,54 @@ def tagged(model: Model, b: words.Block, slots: np.ndarray) -> dict[int, list[tu
 
 # What is learnt from
 
-NAMES = ["auth_key", "access_key", "client_secret", "private_key", "pwd", "credential", "authorization", "bearer", "AUTH_TOKEN", "db_pass", "signing_key", "webhook_key", "session_key", "key"]
-GLUE = ["=", ": ", " = \"", ":\"", " => '", " ", "=\""]
+NAMES = ["auth_key", "access_key", "client_secret", "private_key", "pwd", "credential", "authorization", "bearer", "AUTH_TOKEN", "db_pass", "signing_key", "webhook_key", "session_key", "key", "passphrase", "pass", "pw", "login_pw"]
+IDS = ["id", "user_id", "request_id", "trace", "session", "order", "commit", "rev", "ref", "build", "etag", "uuid", "sku", "path", "file"]
+GLUE = ["=", ": ", " = \"", ":\"", " => '", " ", "=\"", ":"]
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FULL = UPPER + LOWER + DIGITS
+
+
+def picked(r: random.Random, chars: str, n: int) -> str:
+    return "".join(r.choice(chars) for _ in range(n))
 
 
 def invented(r: random.Random) -> str:
     """A secret of a form that the patterns need not know."""
-    full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    pick = lambda chars, n: picked(r, chars, n)
+    return r.choice([
+        lambda: pick("0123456789ABCDEF", r.choice([24, 32, 40, 64])), lambda: pick(FULL, r.randint(20, 44)), lambda: pick(FULL + "+/", r.randint(28, 60)), lambda: pick(FULL + "_-", r.randint(22, 43)),
+        lambda: f"ghp_{pick(FULL, 36)}", lambda: f"sk_live_{pick(FULL, 24)}", lambda: f"xoxb-{pick(DIGITS, 11)}-{pick(FULL, 24)}", lambda: f"eyJ{pick(FULL, 20)}.eyJ{pick(FULL, 40)}.{pick(FULL + '_-', 43)}",
+        lambda: f"AIza{pick(FULL + '_-', 35)}", lambda: pick("0123456789abcdef", r.choice([32, 40, 64])), lambda: f"{pick(LOWER, r.randint(2, 6))}{r.choice('_-')}{pick(FULL, r.randint(18, 40))}",
+    ])()
+
+
+def short_one(r: random.Random) -> str:
+    """A password, which only what stands before it gives away."""
+    while True:
+        x = picked(r, r.choice([FULL, LOWER + DIGITS, FULL + "_-."]), r.randint(8, 16))
+        if any(c.isdigit() for c in x) and any(c.isalpha() for c in x):
+            return x
+
+
+def uuid_of(r: random.Random) -> str:
+    return "-".join(picked(r, "0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+
+
+def lookalike(r: random.Random) -> str:
+    """No secret, though it may look like one: an id, a hash, a name."""
+    pick = lambda chars, n: picked(r, chars, n)
+    tld = r.choice(["com", "org", "net"])
     return r.choice([
-        lambda: pick("0123456789ABCDEF", r.choice([24, 32, 40, 64])), lambda: pick(full, r.randint(20, 44)), lambda: pick(full + "+/", r.randint(28, 60)), lambda: pick(full + "_-", r.randint(22, 43)),
-        lambda: f"ghp_{pick(full, 36)}", lambda: f"sk_live_{pick(full, 24)}", lambda: f"xoxb-{pick('0123456789', 11)}-{pick(full, 24)}", lambda: f"eyJ{pick(full, 20)}.eyJ{pick(full, 40)}.{pick(full + '_-', 43)}",
-        lambda: f"AIza{pick(full + '_-', 35)}", lambda: pick("0123456789abcdef", r.choice([32, 40, 64])),
+        lambda: uuid_of(r), lambda: uuid_of(r).upper(), lambda: f"https://{pick(LOWER, 8)}.{tld}/{pick(LOWER, 5)}/{uuid_of(r)}", lambda: f"https://{pick(LOWER, 6)}.{tld}/watch?v={pick(FULL + '_-', 11)}", lambda: f"https://{pick(LOWER, r.randint(3, 7))}.{pick(LOWER, 2)}/{pick(FULL + '_-', r.randint(6, 12))}",
+        lambda: f"https://{pick(LOWER, 7)}.{tld}/{pick(LOWER, 6)}/commit/{pick('0123456789abcdef', r.choice([7, 10, 12, 20]))}", lambda: pick("0123456789abcdef", r.randint(7, 12)), lambda: f"IMG_20{pick(DIGITS, 6)}_{pick(DIGITS, 6)}.jpg",
+        lambda: f"#{pick('0123456789abcdef', 6)}", lambda: ":".join(pick("0123456789abcdef", 2) for _ in range(6)), lambda: f"{pick(UPPER, 4)}-{pick(DIGITS, 4)}", lambda: f"10.{pick(DIGITS, 4)}/{pick(LOWER, 5)}.{pick(DIGITS, 6)}",
+        lambda: f"{pick(LOWER, 6)}-{pick(DIGITS, 2)}.{pick(DIGITS, 1)}.{pick(DIGITS, 1)}-{pick(LOWER, 4)}", lambda: f"https://{pick(LOWER, 9)}.{tld}/{'-'.join(pick(LOWER, r.randint(3, 8)) for _ in range(5))}-{pick(DIGITS, 6)}", lambda: f"urn:uuid:{uuid_of(r)}",
+        lambda: f"{pick(UPPER, 2)}{pick(DIGITS, 2)} {pick(DIGITS, 4)} {pick(DIGITS, 4)} {pick(DIGITS, 4)}", lambda: f"/{pick(LOWER, 4)}/{pick(LOWER, 6)}_{pick(DIGITS, 4)}/{pick('0123456789abcdef', 16)}.{pick(LOWER, 3)}",
     ])()
 
 
 def harmless(r: random.Random) -> str:
-    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    name = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    digits, name = lambda n: picked(r, DIGITS, n), lambda n: picked(r, LOWER, n)
     return r.choice([
         lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}T{digits(2)}:{digits(2)}", lambda: f"v{digits(1)}.{digits(2)}.{digits(1)}", lambda: digits(r.randint(5, 18)), lambda: f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}",
         lambda: f"{name(5)}.{digits(2)}@{name(7)}.{name(3)}", lambda: ".".join(digits(r.randint(1, 3)) for _ in range(4)), lambda: f"https://{name(8)}.com/{name(6)}/{digits(5)}", lambda: name(r.randint(14, 34)), lambda: name(12).upper(),
@@ -268,18 +309,21 @@ def examples(texts: list[str]) -> list[tuple[str, list[tuple[int, int]], list[in
         places = [a for a, _ in parts] + [r.randrange(len(text) + 1) for _ in range(2)] + [m.start() for m in re.finditer(r"[^\s]*[0-9@][^\s]*", text)][:4]
         out.append((text, parts, places))
     stems = [t for t in texts if t.count(" ") > 40] or ["the words of a line that says nothing at all " * 4]
-    for k in range(1600):
+    for k in range(INVENTED):
         t = r.choice(stems)
         at = t.find(" ", r.randrange(len(t)))
         at = at if at >= 0 else t.index(" ")
         left, right = t[max(0, at - 160) : at + 1], t[at : at + 160]
         if k % 2:
-            lead = f"{r.choice(NAMES)}{r.choice(GLUE)}" if r.random() < 0.7 else ""
-            value = invented(r)
+            lead = f"{r.choice(NAMES)}{r.choice(GLUE)}" if r.random() < 0.75 else ""
+            value = short_one(r) if lead and r.random() < 0.35 else invented(r)
             quote = '"' if '"' in lead else "'" if "'" in lead else ""
             out.append((left + lead + value + quote + right, [(len(left + lead), len(left + lead + value))], [len(left)]))
         else:
-            out.append((left + harmless(r) + right, [], [len(left)]))
+            value = harmless(r) if r.random() < 0.4 else lookalike(r)
+            lead = f"{r.choice([r.choice(IDS), picked(r, LOWER, r.randint(2, 7))])}{r.choice(GLUE)}" if r.random() < 0.5 else ""
+            quote = '"' if '"' in lead else "'" if "'" in lead else ""
+            out.append((left + lead + value + quote + right, [], [len(left)]))
     return out
 
 
@@ -309,13 +353,13 @@ def windows(rows: list[tuple[str, list[tuple[int, int]], list[int]]]) -> tuple[n
 
 def train(docs: DataFrame) -> Model:
     """docs(doc_id, text): fits on a sample that is bounded in rows and in bytes, chosen by a hash of the id."""
-    rows = docs.where(F.length("text") <= FIT_CHARS).select("doc_id", "text")
-    hit, size = F.col("text").rlike(HINT), F.length("text")
-    n, n_hits = rows.agg(F.count("*"), F.count_if(hit)).first()
-    order = F.xxhash64("doc_id", size), F.col("doc_id"), F.md5("text")
+    rows = docs.select("doc_id", "text")
+    pool = thinned(POOL, rows.count(), "doc_id")  # before the pattern, so that few texts are searched
+    hit = F.col("text").rlike(HINT)
+    order = F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text")
     texts = []
-    for most, of, which in ((FIT_HITS, n_hits, hit), (FIT_ROWS, n - n_hits, ~hit)):
-        texts += [r[0] for r in rows.where(thinned(most, of, "doc_id", size)).where(which).orderBy(*order).limit(most).select("text").collect()]
+    for most, which in ((FIT_HITS, hit), (FIT_ROWS, ~hit)):
+        texts += [r[0] for r in rows.where(pool & (F.length("text") <= FIT_CHARS) & which).orderBy(*order).limit(most).select("text").collect()]
     return fit(*windows(examples(texts)))
 
 
@@ -331,11 +375,21 @@ def spans_of(texts: list[str | None], model: Model) -> list[list[tuple[int, int,
             raw = text.encode("utf-8")
             own = out[b.first + k]
             place = [(len(raw[:a].decode("utf-8")), len(raw[:z].decode("utf-8"))) for a, z in found]
-            extra = [(a, 3, z) for a, z in place if all(z <= s or a >= e for s, _, e in own)]
-            out[b.first + k] = sorted(own + extra)
+            out[b.first + k] = sorted(own + [(a, 3, z) for x in place for a, z in outside(*x, own) if any(c.isalnum() for c in text[a:z])])
     return out
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range that no span covers. spans: by start."""
+    parts = []
+    for a, _, z in spans:
+        if a < end and z > start:
+            if a > start:
+                parts.append((start, a))
+            start = max(start, z)
+    return [*parts, (start, end)] if start < end else parts
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
 
