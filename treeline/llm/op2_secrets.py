@@ -285,7 +285,7 @@ def lookalike(r: random.Random) -> str:
     return r.choice([
         lambda: uuid_of(r), lambda: uuid_of(r).upper(), lambda: f"https://{pick(LOWER, 8)}.{tld}/{pick(LOWER, 5)}/{uuid_of(r)}", lambda: f"https://{pick(LOWER, 6)}.{tld}/watch?v={pick(FULL + '_-', 11)}", lambda: f"https://{pick(LOWER, r.randint(3, 7))}.{pick(LOWER, 2)}/{pick(FULL + '_-', r.randint(6, 12))}",
         lambda: f"https://{pick(LOWER, 7)}.{tld}/{pick(LOWER, 6)}/commit/{pick('0123456789abcdef', r.choice([7, 10, 12, 20]))}", lambda: pick("0123456789abcdef", r.randint(7, 12)), lambda: f"IMG_20{pick(DIGITS, 6)}_{pick(DIGITS, 6)}.jpg",
-        lambda: f"#{pick('0123456789abcdef', 6)}", lambda: ":".join(pick("0123456789abcdef", 2) for _ in range(6)), lambda: f"{pick(UPPER, 4)}-{pick(DIGITS, 4)}", lambda: f"10.{pick(DIGITS, 4)}/{pick(LOWER, 5)}.{pick(DIGITS, 6)}",
+        lambda: f"#{pick('0123456789abcdef', 6)}", lambda: f"{':'.join(pick(LOWER, r.randint(2, 6)) for _ in range(r.randint(2, 4)))}:{r.choice(['', '::'])}{pick(LOWER, 5)}-{pick(LOWER, 4)}-{pick(DIGITS, 4)}", lambda: ":".join(pick("0123456789abcdef", 2) for _ in range(6)), lambda: f"{pick(UPPER, 4)}-{pick(DIGITS, 4)}", lambda: f"10.{pick(DIGITS, 4)}/{pick(LOWER, 5)}.{pick(DIGITS, 6)}",
         lambda: f"{pick(LOWER, 6)}-{pick(DIGITS, 2)}.{pick(DIGITS, 1)}.{pick(DIGITS, 1)}-{pick(LOWER, 4)}", lambda: f"https://{pick(LOWER, 9)}.{tld}/{'-'.join(pick(LOWER, r.randint(3, 8)) for _ in range(5))}-{pick(DIGITS, 6)}", lambda: f"urn:uuid:{uuid_of(r)}",
         lambda: f"{pick(UPPER, 2)}{pick(DIGITS, 2)} {pick(DIGITS, 4)} {pick(DIGITS, 4)} {pick(DIGITS, 4)}", lambda: f"/{pick(LOWER, 4)}/{pick(LOWER, 6)}_{pick(DIGITS, 4)}/{pick('0123456789abcdef', 16)}.{pick(LOWER, 3)}",
     ])()
