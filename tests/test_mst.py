@@ -82,6 +82,7 @@ def test_components_along_a_path(spark):
     path = spark.createDataFrame([(k, k + 1, float(k % 5)) for k in range(63) if k != 20], "src long, dst long, weight double")
     roots = {r.id: r.root for r in C.component_roots(ids, path).collect()}
     assert roots == {k: 20 if k <= 20 else 63 for k in range(64)}
+    assert {r.id: r.root for r in C.component_roots(ids, path, in_one_task=10).collect()} == roots
     assert C.component_count(ids, path).first()[0] == 2
     asked = spark.createDataFrame([(0, 20), (20, 21)], "a long, b long")
     assert {(r.a, r.connected) for r in C.connected(asked, C.component_roots(ids, path)).collect()} == {(0, True), (20, False)}

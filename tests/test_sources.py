@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 
 from treeline.__main__ import arguments, main
-from treeline.sources import config, matrix
+from treeline.model import POINTS
+from treeline.sources import config, matrix, sequence
 
 
 @pytest.fixture
@@ -52,3 +53,41 @@ def test_command_line(spark, square, tmp_path, capsys):
     assert "edges=3 weight=4.354066" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         arguments([])
+
+
+def test_points_are_written_as_a_matrix(spark, tmp_path):
+    x = np.random.default_rng(4).random((1500, 5))
+    points = spark.createDataFrame([(3 * k, row.tolist()) for k, row in enumerate(x)], POINTS).repartition(6)
+    path = str(tmp_path / "m.bin")
+    matrix.write_points(points, path)
+    assert matrix.header(path) == (1500, 5)
+    assert np.array_equal(np.array([r.coords for r in matrix.read_matrix(spark, path).orderBy("id").collect()]), x)
+    matrix.write_points(points.limit(0), path)
+    assert matrix.header(path) == (0, 0)
+    with pytest.raises(matrix.MatrixError):
+        matrix.write_points(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], POINTS), path)
+
+
+def test_sequence_files(spark, tmp_path):
+    x = np.random.default_rng(5).random((700, 6))
+    for k in range(3):
+        (tmp_path / f"part-{k:05d}").write_bytes(sequence.encoded([(i, x[i].tolist()) for i in range(k, 700, 3)]))
+    rows = sequence.read_points(spark, str(tmp_path)).orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(700)) and np.array_equal(np.array([r.coords for r in rows]), x)
+    whole = sequence.encoded([(1, [1.0, 2.0]), (2, [])])
+    assert [(i, c.tolist()) for i, c in sequence.decoded(whole)] == [(1, [1.0, 2.0]), (2, [])]
+    for bad in (b"", b"SEQ\x05", whole[:-3], whole[:30], whole.replace(b"\x00\x00\x00\x00\x00\x00", b"\x01\x00\x00\x00\x00\x00", 1)):
+        with pytest.raises(sequence.SequenceError):
+            list(sequence.decoded(bad))
+
+
+def test_split_command(spark, square, tmp_path, capsys):
+    assert main(["split", square, "--splits", "2", "--out", str(tmp_path / "s"), "--show", "1", "--sample", "2"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out == ["0: [0.00, 0.00]", "1: [2.00, 0.00]", "0: [0.00, 0.00] || 0: [0.00, 0.00]", "split=0 points=2", "split=1 points=2"]
+
+
+def test_sweep_command(spark, capsys):
+    assert main(["sweep", "--points", "60", "--dims", "2", "3", "--splits", "1", "3", "--fanin", "2"]) == 0
+    got = [eval(x) for x in capsys.readouterr().out.splitlines()]
+    assert len(got) == 4 and {x["edges"] for x in got} == {59} and got[0]["weight"] == got[1]["weight"]

@@ -42,6 +42,11 @@ def point_string(id_: Column, coords: Column) -> Column:
     return F.concat(id_.cast("string"), F.lit(": ["), F.concat_ws(", ", F.transform(coords, lambda x: F.format_string("%.2f", x))), F.lit("]"))
 
 
+def plain_string(id_: Column, coords: Column) -> Column:
+    """``id x y``, with two decimals."""
+    return F.concat_ws(" ", F.array_prepend(F.transform(coords, lambda x: F.format_string("%.2f", x)), id_.cast("string")))
+
+
 def edge_string(src: Column, dst: Column, weight: Column) -> Column:
     return F.format_string("[(%d %d) %.6f]", src, dst, weight)
 
@@ -52,7 +57,3 @@ def swap_bytes(x: Column) -> Column:
     low = lambda k: F.shiftright(x, k).bitwiseAND(255).cast("long")
     wide = low(0) * (1 << 24) + low(8) * (1 << 16) + low(16) * 256 + low(24)
     return F.when(wide >= 1 << 31, wide - (1 << 32)).otherwise(wide).cast("int")
-
-
-def canonical(src: Column, dst: Column) -> tuple[Column, Column]:
-    return F.least(src, dst), F.greatest(src, dst)

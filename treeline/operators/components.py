@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from treeline.operators.kernels import greatest_reached
+from treeline.plans.splits import numbered
 from treeline.session import written
 
 MOST_ROUNDS = 60
+IN_ONE_TASK = 4_000_000  # edges, 16 bytes each
 
 
-def component_roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def component_roots(vertices: DataFrame, edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """vertices(id), edges(src, dst) -> (id, root): the greatest id that each vertex reaches.
 
+    Edges are counted first. A forest of up to ``in_one_task`` edges is labelled in one task, and a larger one in rounds.
+    """
+    edges = written(edges.select("src", "dst"), "edges")
+    if edges.count() > in_one_task:
+        return component_rounds(vertices, edges)
+
+    def label(table: pa.Table) -> pa.Table:
+        ids, roots = greatest_reached(table.column("src").to_numpy(), table.column("dst").to_numpy())
+        return pa.table({"id": ids, "top": roots})
+
+    tops = edges.groupBy(F.lit(0).alias("all")).applyInArrow(label, "id long, top long")
+    return vertices.select("id").join(tops, "id", "left").select("id", F.coalesce("top", "id").alias("root"))
+
+
+def component_rounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same by rounds over tables, for any number of edges.
+
     Each round hooks every vertex to the greatest root next to it and then jumps pointers; it ends when nothing moves.
     """
     links = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
@@ -48,13 +68,8 @@ def cut_at(edges: DataFrame, height: float | Column) -> DataFrame:
 
 
 def merges(edges: DataFrame) -> DataFrame:
-    """(step, src, dst, weight): the merges of single linkage, in order. Has as many rows as points; the sort is global."""
-    return edges.select(F.row_number().over(W.orderBy("weight", "src", "dst")).cast("long").alias("step"), "src", "dst", "weight")
-
-
-def labels_at(vertices: DataFrame, edges: DataFrame, height: float) -> DataFrame:
-    """(id, label): flat single-linkage clusters at a height, named by their greatest id."""
-    return component_roots(vertices, cut_at(edges, height)).select("id", F.col("root").alias("label"))
+    """(step, src, dst, weight): the merges of single linkage, in order: ranges of the order are numbered side by side."""
+    return numbered(edges.select("src", "dst", "weight"), "weight", "src", "dst").select((F.col("index") + 1).cast("long").alias("step"), "src", "dst", "weight")
 
 
 def labels_of(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:

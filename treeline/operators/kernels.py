@@ -98,3 +98,52 @@ def kruskal(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
             if sets.count == 1:
                 break
     return np.array(kept, np.int64)
+
+
+def greatest_reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of the edges, and the greatest vertex that each reaches. Hooks and pointer jumps on whole arrays."""
+    vertices, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = place[: len(src)], place[len(src) :]
+    root = np.arange(len(vertices))
+    while len(a):
+        x, y = root[a], root[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.maximum.at(root, np.minimum(x, y), np.maximum(x, y))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return vertices, vertices[root]
+
+
+ROWS = 256
+
+
+def nearest(ids: np.ndarray, coords: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each point, the nearest other one that it has an edge to, the least id of several: (id, near, weight). Sides as in ``prim``.
+
+    A block of ROWS points meets all others at once; memory is ROWS * m.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, coords, side = ids[order], coords[order], side[order]
+    bipartite = bool((side != 0).any())
+    columns, out = np.asfortranarray(coords), []
+    for first in range(0, len(ids), ROWS):
+        x = slice(first, first + ROWS)
+        total = np.zeros((len(ids[x]), len(ids)))
+        for k in range(coords.shape[1]):
+            d = columns[x, k][:, None] - columns[None, :, k]
+            total += d * d
+        total[side[x][:, None] == side[None] if bipartite else ids[x][:, None] == ids[None]] = np.inf
+        best = total.argmin(1)  # ids are in order, so the first is the least
+        weight = np.sqrt(total[np.arange(len(best)), best])
+        # Roots may be equal where squares aren't; the least id of equal roots counts.
+        for i in np.flatnonzero((total < (weight * (1 + 1e-15))[:, None] ** 2).sum(1) > 1):
+            best[i] = np.flatnonzero(np.sqrt(total[i]) == weight[i])[0]
+        some = np.isfinite(weight)
+        out.append((ids[x][some], ids[best][some], weight[some]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))

@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.model import MstConfig, validated
-from treeline.operators.kernels import kruskal, prim
+from treeline.operators.kernels import kruskal, nearest, prim
 from treeline.plans.splits import members, n_subgraphs, schedule, with_splits
 
 
-def _solve(table: pa.Table) -> pa.Table:
+def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = table.column("id").to_numpy()
     flat = table.column("coords").combine_chunks()
     coords = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-    src, dst, weight = prim(ids, coords, table.column("side").to_numpy())
+    return ids, coords, table.column("side").to_numpy()
+
+
+def _solve(table: pa.Table) -> pa.Table:
+    src, dst, weight = prim(*_arrays(table))
     return pa.table({"sg": pa.array(np.full(len(src), table.column("sg")[0].as_py()), pa.int32()), "src": src, "dst": dst, "weight": weight})
 
 
@@ -29,6 +33,21 @@ def local_trees(points: DataFrame, splits: int) -> DataFrame:
     return placed.groupBy("sg").applyInArrow(_solve, "sg int, src long, dst long, weight double")
 
 
+def _nearest(table: pa.Table) -> pa.Table:
+    ids, near, weight = nearest(*_arrays(table))
+    return pa.table({"id": ids, "near": near, "weight": weight})
+
+
+def nearest_neighbors(points: DataFrame, splits: int) -> DataFrame:
+    """points(id, coords) -> (id, near, weight): the nearest other point, of several the least id.
+
+    Each subgraph gives the nearest points within it, so splits + 1 rows a point are compared, not all pairs.
+    """
+    placed = members(with_splits(points, splits), splits).repartitionById(n_subgraphs(splits), "sg")
+    found = placed.groupBy("sg").applyInArrow(_nearest, "id long, near long, weight double")
+    return found.groupBy("id").agg(F.min(F.struct("weight", "near")).alias("m")).select("id", "m.near", "m.weight")
+
+
 def _merge(table: pa.Table) -> pa.Table:
     src, dst, weight = (table.column(c).to_numpy() for c in ("src", "dst", "weight"))
     kept = kruskal(src, dst, weight)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions import geometry as G
 from treeline.operators import components as C
-from treeline.operators.mst import local_trees, merge_round, mst
+from treeline.operators.mst import local_trees, merge_round, mst, nearest_neighbors
 from treeline.plans.splits import members, n_subgraphs, schedule, subgraphs, with_splits
 from treeline.session import shared_dir
+from treeline.sources import matrix
 from treeline.sources.tables import read_splits, read_vectors, save_splits
 
 SPLITS, FANIN, HEIGHT = 4, 3, 1.17
@@ -48,6 +52,19 @@ def point_format(spark, d):
     return parts(spark, d).select("id", G.point_string(F.col("id"), F.col("coords")).alias("shown"))
 
 
+def point_format_plain(spark, d):
+    return parts(spark, d).select("id", G.plain_string(F.col("id"), F.col("coords")).alias("shown"))
+
+
+def point_equals(spark, d):
+    """Each point against itself, and against the one half a table further."""
+    p = parts(spark, d)
+    other = p.select(F.col("id").alias("other"), F.col("coords").alias("b"))
+    asked = p.crossJoin(F.broadcast(p.agg(F.count("*").alias("n")))).withColumn("other", F.pmod(F.col("id") - 1 + F.floor(F.col("n") / 2), "n") + 1)
+    same = lambda i, c: G.point_equals(F.col("id"), F.col("coords"), i, c)
+    return asked.join(other, "other").select("id", same(F.col("id"), F.col("coords")).alias("itself"), same(F.col("other"), F.col("b")).alias("another"), same(F.col("id"), F.col("b")).alias("same_id"))
+
+
 def edge_format(spark, d):
     return mst(parts_small(spark, d), 2, 2).select("src", "dst", G.edge_string(F.col("src"), F.col("dst"), F.col("weight")).alias("shown"))
 
@@ -89,19 +106,14 @@ def pairwise_distance(spark, d):
     return rounded(all_pairs(vectors(spark, d)))
 
 
-def between(spark, d, left, right):
-    p = with_splits(vectors(spark, d), SPLITS)
-    a = p.where(F.col("split") == left).select(F.col("id").alias("src"), F.col("coords").alias("a"))
-    b = p.where(F.col("split") == right).select(F.col("id").alias("dst"), F.col("coords").alias("b"))
-    return rounded(a.join(b, F.col("src") < F.col("dst")).select("src", "dst", G.point_distance(F.col("src"), F.col("a"), F.col("dst"), F.col("b")).alias("weight")))
-
-
 def bipartite_pairs(spark, d):
-    return between(spark, d, 0, 1)
+    """The distances of all bipartite subgraphs."""
+    return subgraph_pairs(spark, d).where(F.col("sg") < SPLITS * (SPLITS - 1) // 2)
 
 
 def mono_pairs(spark, d):
-    return between(spark, d, 0, 0)
+    """The distances of all complete subgraphs."""
+    return subgraph_pairs(spark, d).where(F.col("sg") >= SPLITS * (SPLITS - 1) // 2)
 
 
 def subgraph_pairs(spark, d):
@@ -114,9 +126,7 @@ def subgraph_pairs(spark, d):
 
 
 def nearest_neighbor(spark, d):
-    e = all_pairs(vectors(spark, d))
-    both = e.select(F.col("src").alias("id"), F.col("dst").alias("near"), "weight").unionByName(e.select(F.col("dst").alias("id"), F.col("src").alias("near"), "weight"))
-    return rounded(both.groupBy("id").agg(F.min(F.struct("weight", "near")).alias("m")).select("id", "m.near", "m.weight"))
+    return rounded(nearest_neighbors(vectors(spark, d), SPLITS))
 
 
 def local(spark, d):
@@ -145,10 +155,6 @@ def mst_edges(spark, d):
 
 
 def mst_ties(spark, d):
-    return rounded(mst(read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size").where("id < 300"), 3, 2))
-
-
-def mst_ties_whole(spark, d):
     return rounded(mst(read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size"), SPLITS, FANIN))
 
 
@@ -169,12 +175,6 @@ def component_root(spark, d):
 
 
 def is_connected(spark, d):
-    ids = vectors(spark, d).select("id")
-    pairs = ids.select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % F.lit(500)).alias("b"))
-    return C.connected(pairs, component_root(spark, d))
-
-
-def is_connected_whole(spark, d):
     ids = vectors(spark, d).select("id")
     pairs = ids.crossJoin(F.broadcast(ids.agg(F.count("*").alias("n")))).select(F.col("id").alias("a"), ((F.col("id") * 7 + 3) % F.col("n")).alias("b"))
     return C.connected(pairs, component_root(spark, d))
@@ -188,17 +188,35 @@ def dendrogram_merges(spark, d):
     return rounded(C.merges(tree(spark, d)))
 
 
-def split_roundtrip(spark, d):
-    path = f"{shared_dir(spark).rstrip('/')}/splits-{abs(hash(d))}"
+def saved_splits(spark, d):
+    path = f"{shared_dir(spark).rstrip('/')}/splits-{md5(d.encode()).hexdigest()}"
     save_splits(with_splits(vectors(spark, d), SPLITS), path)
-    return read_splits(spark, path, 1, 3).select("id", "split", G.dimension(F.col("coords")).alias("d"))
+    return path
+
+
+def split_roundtrip(spark, d):
+    return read_splits(spark, saved_splits(spark, d), 1, 3).select("id", "split", G.dimension(F.col("coords")).alias("d"))
+
+
+def splits_all(spark, d):
+    return read_splits(spark, saved_splits(spark, d)).select("id", "split", F.round(F.aggregate("coords", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def matrix_scan(spark, d):
+    """The vectors written as one binary matrix, and read by the matrix source, several partitions a file."""
+    path = f"{shared_dir(spark).removeprefix('file:').rstrip('/')}/matrix-{uuid.uuid4().hex}.bin"
+    path = "/" + path.lstrip("/")
+    matrix.write_points(vectors(spark, d), path)
+    matrix.register(spark)
+    points = spark.read.format("treeline_matrix").option("partitionRows", 128).load(path)
+    return points.select("id", G.dimension(F.col("coords")).alias("d"), F.round(F.aggregate("coords", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        mst_edges, mst_weight, mst_topk_heaviest, mst_ties, mst_ties_whole, points_scan, points_prefix, point_hash, point_format, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
-        pairwise_distance, bipartite_pairs, mono_pairs, subgraph_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, is_connected_whole, single_linkage_labels, dendrogram_merges, split_roundtrip,
+        mst_edges, mst_weight, mst_topk_heaviest, mst_ties, points_scan, matrix_scan, points_prefix, point_hash, point_equals, point_format, point_format_plain, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
+        pairwise_distance, bipartite_pairs, mono_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, single_linkage_labels, dendrogram_merges, split_roundtrip, splits_all,
     )
 }
 
@@ -250,14 +268,17 @@ ORACLES = {
     "mst_edges": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM t",
     "mst_weight": TREE + " SELECT count(*) AS n_edges, round(sum(weight), 4) AS total FROM t",
     "mst_topk_heaviest": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10)",
-    "mst_ties": whole_sql("p AS MATERIALIZED (SELECT p_partkey AS id, [p_size::DOUBLE] AS v FROM part WHERE p_partkey < 300)") + " SELECT src, dst, round(weight, 6) AS weight FROM t",
     # On a line, equal points hang on the least of their ids, and each group's least on that of the next group.
-    "mst_ties_whole": "WITH g AS (SELECT p_size AS x, min(p_partkey) AS id FROM part GROUP BY p_size) SELECT g.id AS src, p_partkey AS dst, 0.0::DOUBLE AS weight FROM part JOIN g ON p_size = x WHERE p_partkey <> g.id"
+    "mst_ties": "WITH g AS (SELECT p_size AS x, min(p_partkey) AS id FROM part GROUP BY p_size) SELECT g.id AS src, p_partkey AS dst, 0.0::DOUBLE AS weight FROM part JOIN g ON p_size = x WHERE p_partkey <> g.id"
     " UNION ALL SELECT least(id, i), greatest(id, i), (y - x)::DOUBLE FROM (SELECT id, x, lead(id) OVER (ORDER BY x) AS i, lead(x) OVER (ORDER BY x) AS y FROM g) WHERE i IS NOT NULL",
     "points_scan": f"WITH {EMB} SELECT id, CAST(len(v) AS INT) AS d, round(list_sum(v), 6) AS total FROM p",
+    "matrix_scan": f"WITH {EMB} SELECT row_number() OVER (ORDER BY id) - 1 AS id, CAST(len(v) AS INT) AS d, round(list_sum(v), 6) AS total FROM p",
     "points_prefix": f"WITH {EMB} SELECT id, " + ", ".join(f"round(v[{k + 1}], 6) AS x{k}" for k in range(5)) + " FROM p WHERE id < 100",
     "point_hash": "SELECT p_partkey AS id, CAST((p_partkey * 163 + 2 * 57 + CAST(trunc(p_size + p_retailprice) AS BIGINT) + 2147483648) % 4294967296 - 2147483648 AS INT) AS hash FROM part",
     "point_format": "SELECT p_partkey AS id, format('{}: [{:.2f}, {:.2f}]', p_partkey, p_size::DOUBLE, p_retailprice) AS shown FROM part",
+    "point_format_plain": "SELECT p_partkey AS id, format('{} {:.2f} {:.2f}', p_partkey, p_size::DOUBLE, p_retailprice) AS shown FROM part",
+    "point_equals": "WITH n AS (SELECT count(*) AS n FROM part) SELECT a.p_partkey AS id, true AS itself, a.p_partkey = b.p_partkey AND a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice AS another,"
+    " a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice AS same_id FROM part a CROSS JOIN n JOIN part b ON b.p_partkey = (a.p_partkey - 1 + n // 2) % n + 1",
     "edge_format": whole_sql("p AS MATERIALIZED (SELECT s_suppkey AS id, [s_nationkey::DOUBLE, s_acctbal] AS v FROM supplier)") + " SELECT src, dst, format('[({} {}) {:.6f}]', src, dst, weight) AS shown FROM t",
     "swap_bytes": "SELECT p_partkey AS id, CAST(CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS INT) AS swapped FROM (SELECT p_partkey, (p_partkey % 256) * 16777216 + (p_partkey // 256 % 256) * 65536 + (p_partkey // 65536 % 256) * 256 + p_partkey // 16777216 % 256 AS w FROM part)",
     "split_assign": "SELECT id, CAST(k.i AS INT) AS split FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) x JOIN range(7) k(i) ON x.i >= k.i * n // 7 AND x.i < (k.i + 1) * n // 7",
@@ -266,9 +287,8 @@ ORACLES = {
     "subgraph_sizes": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, count(*) AS n_points FROM sgs JOIN s ON s.k IN (l, r) GROUP BY sg",
     "fanin_schedule": f"WITH RECURSIVE x(r, g) AS (SELECT 0, {n_subgraphs(SPLITS)} UNION ALL SELECT r + 1, (g + {FANIN - 1}) // {FANIN} FROM x WHERE g > 1) SELECT CAST(r AS INT) AS round, CAST(g AS INT) AS groups FROM x",
     "pairwise_distance": f"WITH {EMB} SELECT {PAIRS} FROM p a JOIN p b ON a.id < b.id",
-    "bipartite_pairs": f"WITH {EMB}, {SPLIT} SELECT {PAIRS} FROM s a JOIN s b ON a.k = 0 AND b.k = 1",
-    "mono_pairs": f"WITH {EMB}, {SPLIT} SELECT {PAIRS} FROM s a JOIN s b ON a.k = 0 AND b.k = 0 AND a.id < b.id",
-    "subgraph_pairs": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, {PAIRS} FROM s a JOIN s b ON a.id < b.id JOIN sgs ON l = least(a.k, b.k) AND r = greatest(a.k, b.k)",
+    "bipartite_pairs": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, {PAIRS} FROM s a JOIN s b ON a.id < b.id AND a.k <> b.k JOIN sgs ON l = least(a.k, b.k) AND r = greatest(a.k, b.k)",
+    "mono_pairs": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, {PAIRS} FROM s a JOIN s b ON a.id < b.id AND a.k = b.k JOIN sgs ON l = a.k AND r = a.k",
     "nearest_neighbor": f"WITH {EMB}, d AS (SELECT a.id, b.id AS near, list_distance(a.v, b.v) AS w FROM p a JOIN p b ON a.id <> b.id) SELECT id, m.near AS near, round(m.w, 6) AS weight FROM (SELECT id, min({{'w': w, 'near': near}}) AS m FROM d GROUP BY id)",
     "local_mst_bipartite": LOCAL + f" SELECT sg, src, dst, round(weight, 6) AS weight FROM t WHERE sg < {SPLITS * (SPLITS - 1) // 2}",
     "local_mst_complete": LOCAL + f" SELECT sg, src, dst, round(weight, 6) AS weight FROM t WHERE sg >= {SPLITS * (SPLITS - 1) // 2}",
@@ -276,9 +296,9 @@ ORACLES = {
     "merge_round_1": MERGED + " SELECT sg AS grp, src, dst, round(weight, 6) AS weight FROM t",
     "component_count": TREE + f" SELECT (SELECT count(*) FROM p) - count(*) AS n_components FROM t WHERE weight <= {HEIGHT}",
     "component_root": TREE + ROOTS + " SELECT id, root FROM roots",
-    "is_connected": TREE + ROOTS + " SELECT x.id AS a, y.id AS b, x.root = y.root AS connected FROM roots x JOIN roots y ON y.id = (x.id * 7 + 3) % 500",
-    "is_connected_whole": TREE + ROOTS + " SELECT x.id AS a, y.id AS b, x.root = y.root AS connected FROM roots x JOIN roots y ON y.id = (x.id * 7 + 3) % (SELECT count(*) FROM p)",
+    "is_connected": TREE + ROOTS + " SELECT x.id AS a, y.id AS b, x.root = y.root AS connected FROM roots x JOIN roots y ON y.id = (x.id * 7 + 3) % (SELECT count(*) FROM p)",
     "single_linkage_labels": TREE + ", k AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src DESC, dst DESC) AS i FROM t) WHERE i > 9)" + CUT_K + " SELECT id, max(root) AS label FROM r GROUP BY id",
     "dendrogram_merges": TREE + " SELECT row_number() OVER (ORDER BY weight, src, dst) AS step, src, dst, round(weight, 6) AS weight FROM t",
     "split_roundtrip": f"WITH {EMB}, {SPLIT} SELECT id, k AS split, CAST(len(v) AS INT) AS d FROM s WHERE k IN (1, 3)",
+    "splits_all": f"WITH {EMB}, {SPLIT} SELECT id, k AS split, round(list_sum(v), 6) AS total FROM s",
 }

@@ -18,13 +18,18 @@ def split_of(index: Column, n: int, splits: int) -> Column:
     return F.expr("0").cast("int") if n == 0 else F.floor(((index + 1) * splits - 1) / F.lit(n)).cast("int")
 
 
-def indexed(points: DataFrame, cells: int = 64) -> DataFrame:
-    """points + index, dense from 0 by id. A range partitioning and per-partition counts: no global sort in one task."""
-    placed = written(points.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "points")
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows + index, dense from 0 in the given order. A range partitioning and per-partition counts: no sort in one task."""
+    placed = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")
     counts = placed.groupBy("part").agg(F.count("*").alias("rows"))
     offsets = counts.withColumn("offset", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
-    rank = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
-    return placed.withColumn("rank", rank).join(F.broadcast(offsets), "part").select("id", "coords", (F.col("offset") + F.col("rank")).alias("index"))
+    rank = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
+    return placed.withColumn("rank", rank).join(F.broadcast(offsets), "part").select(*rows.columns, (F.col("offset") + F.col("rank")).alias("index"))
+
+
+def indexed(points: DataFrame) -> DataFrame:
+    """points + index, dense from 0 by id."""
+    return numbered(points.select("id", "coords"), "id")
 
 
 def with_splits(points: DataFrame, splits: int, n: int | None = None) -> DataFrame:

@@ -46,6 +46,35 @@ def write_matrix(path: str, rows: np.ndarray) -> None:
         f.write(rows.tobytes())
 
 
+def write_points(points: DataFrame, path: str) -> None:
+    """points(id, coords) of one dimension to a matrix file, rows by id. Each task writes its rows at their place, so the
+    path must be one file on a disk that all share; a task that runs again writes the same bytes."""
+    from treeline.plans.splits import indexed
+
+    rows = indexed(points)
+    n, d, most = rows.agg(F.count("*"), F.coalesce(F.min(F.size("coords")), F.lit(0)), F.coalesce(F.max(F.size("coords")), F.lit(0))).first()
+    if d != most:
+        raise MatrixError(f"{path}: rows of {d} to {most} columns")
+    with open(path, "wb") as f:
+        f.write(struct.pack(HEADER, n, d))
+        f.truncate(HEADER_SIZE + 8 * n * d)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        with open(path, "r+b") as f:
+            for part in parts:
+                at, flat = part.column("index").to_numpy(), part.column("coords").flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(len(part), -1)
+                for k, row in zip(at.tolist(), flat, strict=True):
+                    f.seek(HEADER_SIZE + 8 * d * k)
+                    f.write(row.tobytes())
+                done += len(part)
+        yield pa.RecordBatch.from_pydict({"rows": [done]})
+
+    done = rows.select("index", "coords").mapInArrow(run, "rows long").agg(F.sum("rows")).first()[0] or 0
+    if done != n:
+        raise MatrixError(f"{path}: {done} of {n} rows were written")
+
+
 def to_batch(first: int, rows: np.ndarray) -> pa.RecordBatch:
     offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
     coords = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()), type=SCHEMA.field("coords").type)
