@@ -440,6 +440,25 @@ def redacted(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def either_case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" for c in word)
+
+
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``query`` that SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_NAME = "|".join(map(either_case, ("password", "passwd", "secret", "token"))) + f"|{either_case('api')}_?{either_case('key')}"
+COUNTS_SQL = rf"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(t, '({_NAME})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS BIGINT) AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return scan(docs, train(docs))

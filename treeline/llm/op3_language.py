@@ -11,7 +11,9 @@ LANDMARKS serve as landmarks, the same number from each language as far as there
 
 Defined results for odd input: null text and text without a letter give ``und`` and score 0; without any labelled row
 to learn from, every text gives ``und``; a null doc_id hashes as empty text, hence held out; repeated rows are scored
-each; ties go to the language first by code point; other columns are ignored.
+each; ties go to the language first by code point; texts of any length are scored whole; an empty table gives no rows;
+other columns are ignored. What is broadcast is bounded by the fit's limits: n-grams of at most LANDMARKS texts of at most
+FIT_CHARS code points, a tenth of that as a rule, and a class for each code point.
 """
 
 from __future__ import annotations

@@ -89,7 +89,10 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), passes: int = 3, id_col: str =
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs -> its rows that the mix takes, all columns, with size, and taken: size times the passes over the row."""
+    """docs -> its rows that the mix takes, all columns, with size, and taken: size times the passes over the row.
+
+    Columns of docs that are named size or taken, in any case, give way to these.
+    """
     plan = mix(docs).where("taken > 0").select("doc_id", "source", "size", "taken").dropDuplicates(["doc_id", "source", "size"])
     kept = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in ("size", "taken")]
     sized = docs.select(F.struct(*kept).alias("row"), "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))

@@ -208,3 +208,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``query`` that SQL can express."""
+    return query(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS u FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(t)))
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(left(t, n - n // 3) || left(u, n // 3)) AS edited_sha256 FROM n
+"""

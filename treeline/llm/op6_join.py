@@ -382,3 +382,23 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs by shared shingles: for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+  FROM d),
+e AS MATERIALIZED (SELECT r, len(g) AS n, unnest(g) AS x FROM s),
+p AS (SELECT a.r AS a, b.r AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 90 * (n + m - k)),
+y AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t(r, o) AS (SELECT r, r FROM s UNION SELECT t.r, y.b FROM t JOIN y ON t.o = y.a)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id
+FROM s JOIN (SELECT t.r, min(s.doc_id) AS component_id FROM t JOIN s ON t.o = s.r GROUP BY t.r) c ON s.r = c.r
+"""

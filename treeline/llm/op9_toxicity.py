@@ -8,8 +8,10 @@ bound to exactly 0, so the model that is broadcast is the short list of other we
 The fit takes a bounded sample of labelled rows: at most FIT_ROWS texts of at most FIT_CHARS code points. Of several
 labels for one id the highest counts. Every text is scored whole.
 
-Defined results for odd input: null and empty texts get the intercept's score; without labels every score is 0; a null doc_id hashes as empty text, hence held out; repeated rows are scored each; other
-columns are ignored.
+Defined results for odd input: null and empty texts get the intercept's score; without labels every score is 0; a null
+doc_id hashes as empty text, hence held out; repeated rows are scored each; of texts with one labelled id each is learnt
+from; a score of exactly 0.5 predicts 1; ties in the sample go by id, label and MD5 of the text; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
