@@ -2,6 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each one's rows to the shared folder and
 hands them to the next. All but the last return the columns of ``documents``.
+
+Defined results for odd input, stage by stage; in all of them an empty table stays empty, texts of any length are read
+whole, and other columns are handed on as they are:
+
+- language_id: null texts and texts without a letter go; without labelled rows to learn from, all go; repeated rows are
+  judged alike. ``lang``, ``source`` and ``doc_id`` may be null.
+- near_duplicates: of a group, the row of least (doc_id, hash of the text) stays, a null doc_id first; of equal rows one
+  stays; rows without a word are no duplicates and stay all.
+- decontaminate: null texts leak nothing; null and wordless items match nothing; repeated rows are judged alike.
+- redact_secrets: null texts stay null with their n_chars; where n_chars is null it is counted.
+- mix_sources: a null source is a source of its own; null texts have no words and aren't taken; rows equal in id, source and
+  size stand or fall together; columns named size or taken give way to those of the mix.
 """
 
 from __future__ import annotations
@@ -10,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import op2_secrets, op3_language, op4_mix, op6_join, op10_decontaminate
-from treeline.session import written
+from treeline.session import release, written
 
 #: Texts of a score under this are rejected, like those without a letter. It binds from six languages on; with fewer, texts
 #: are rejected for having too few n-grams of their language, by a threshold learnt from labelled texts.
@@ -59,6 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        done, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            release(done)
     return STAGES[-1][1](spark, docs, sf_dir)
