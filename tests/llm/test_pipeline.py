@@ -46,3 +46,14 @@ def test_each_stage_drops_what_was_planted_for_it(spark, tmp_path):
     want = {(d, size, taken) for d, size, taken in c.execute(f"SELECT doc_id, size, taken FROM ({op4_mix.ORACLE}) WHERE taken > 0").fetchall()}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(x.doc_id, x["size"], x.taken) for x in got} == want
+
+
+def test_no_documents(spark, tmp_path):
+    """Every stage of an empty table is empty and has its columns."""
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int, size int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a few words of an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and out.columns == docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
