@@ -352,14 +352,15 @@ def windows(rows: list[tuple[str, list[tuple[int, int]], list[int]]]) -> tuple[n
 
 
 def train(docs: DataFrame) -> Model:
-    """docs(doc_id, text): fits on a sample that is bounded in rows and in bytes, chosen by a hash of the id."""
+    """docs(doc_id, text): fits on a sample that is bounded in rows and in bytes, chosen by hashes of the id and the text."""
     rows = docs.select("doc_id", "text")
-    pool = thinned(POOL, rows.count(), "doc_id")  # before the pattern, so that few texts are searched
+    pool = rows.where(thinned(POOL, rows.count(), "doc_id") & (F.length("text") <= FIT_CHARS))  # before the pattern, so that few texts are searched
     hit = F.col("text").rlike(HINT)
+    n, n_hits = pool.agg(F.count("*"), F.count_if(hit)).first()
     order = F.xxhash64("doc_id"), F.col("doc_id"), F.md5("text")
     texts = []
-    for most, which in ((FIT_HITS, hit), (FIT_ROWS, ~hit)):
-        texts += [r[0] for r in rows.where(pool & (F.length("text") <= FIT_CHARS) & which).orderBy(*order).limit(most).select("text").collect()]
+    for most, of, which in ((FIT_HITS, n_hits, hit), (FIT_ROWS, n - n_hits, ~hit)):
+        texts += [r[0] for r in pool.where(thinned(most, of, "text", F.lit(7)) & which).orderBy(*order).limit(most).select("text").collect()]
     return fit(*windows(examples(texts)))
 
 
