@@ -255,16 +255,14 @@ def setter(n: int):
 def compared(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs(a, b, n_a, n_b), those whose sets link. rows: doc_id, text, text_hash."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    owners = written(wanted.join(reps.select("cls", "doc_id", "text_hash"), "cls"), "owners")
+    owners = wanted.join(reps.select("cls", "doc_id", "text_hash"), "cls")
     # At most SLOTS rows: spares the shuffle most sets that no pair needs, as long as the pairs are few.
     slots = owners.select(F.pmod("text_hash", F.lit(SLOTS)).alias("slot")).distinct()
     few = rows.join(F.broadcast(slots), F.pmod("text_hash", F.lit(SLOTS)) == F.col("slot"), "left_semi")
     s, o = few.select("doc_id", "text_hash", "text").mapInArrow(setter(n), "doc_id long, text_hash long, s binary").alias("s"), owners.alias("o")
     blobs = s.join(o, F.expr("s.text_hash = o.text_hash AND s.doc_id <=> o.doc_id")).select("o.cls", "s.s").dropDuplicates(["cls"])  # one of rows that are equal
     side = lambda x: blobs.select(F.col("cls").alias(x), F.col("s").alias(f"set_{x}"))
-    out = written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(comparer(percent), "a long, b long").distinct(), "links")
-    release(owners)
-    return out
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(comparer(percent), "a long, b long").distinct(), "links")
 
 
 def screen(percent: int):
@@ -309,9 +307,8 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> t
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("text_hash"))
-    counts = written(rows.select("text").mapInArrow(counter(n), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > rare), "counts")
+    counts = rows.select("text").mapInArrow(counter(n), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > rare)
     frequent = counts.orderBy(F.desc("times"), "shingle").limit(FREQUENT_BOUND).select("shingle").toArrow().column(0).to_numpy()
-    release(counts)
     shared = spark.sparkContext.broadcast(np.sort(frequent.view(np.uint64)))
     made = written(rows.mapInArrow(indexer(shared, n, percent), "doc_id long, text_hash long, n long, cls long, keys array<long>, bits binary"), "sets")
     sets = written(made.select("doc_id", "text_hash", "n", "cls"), "sets")
