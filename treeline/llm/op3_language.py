@@ -196,7 +196,7 @@ def least_share(model: Model, lang: int, rows: list[tuple[int, str, str]], chose
 def train(docs: DataFrame, rows: int = FIT_ROWS, most_chars: int = FIT_CHARS) -> Model | None:
     """docs(doc_id, text, lang): learns from rows whose remainder is not 0 and whose lang is known."""
     labels = docs.where(F.col("lang").isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    return fit(labelled_sample(docs.select("doc_id", "text"), labels, "lang", rows, most_chars))
+    return fit(labelled_sample(docs.select("doc_id", "text"), labels, "lang", rows, most_chars, docs.count()))
 
 
 def predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

@@ -126,7 +126,7 @@ def scorer(shared, bits: int = BITS):
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, most_chars: int = FIT_CHARS) -> Model:
     """docs(doc_id, text), labels(doc_id, <label>): learns from ids whose remainder is not 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias(label)).where(F.col(label).isNotNull() & (remainder() != 0)).groupBy("doc_id").agg(F.max(label).alias(label))
-    return fit(labelled_sample(docs.select("doc_id", "text"), known, label, rows, most_chars))
+    return fit(labelled_sample(docs.select("doc_id", "text"), known, label, rows, most_chars, labels.count()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

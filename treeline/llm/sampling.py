@@ -19,16 +19,22 @@ def thinned(rows: int, of: int, *by: str | Column) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(1 << 30)) < int(min(1.0, (2 * rows + 100) / max(of, 1)) * (1 << 30))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int) -> list[tuple[int, object, str]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, most_chars: int, of: int) -> list[tuple[int, object, str]]:
     """At most ``rows`` of (doc_id, label, whole text), in the order of a hash of the id.
 
-    docs(doc_id, text), labels(doc_id, label) with one row per id. Texts over ``most_chars`` are passed over, so what
-    comes to the driver is bounded in rows and in bytes.
+    docs(doc_id, text), labels(doc_id, label) with one row per id, made from ``of`` rows at most. The hash is first cut
+    where some four times the rows wanted should lie below; only if too few do, all labels are gone through. Texts over
+    ``most_chars`` are passed over. So what comes to the driver is bounded in rows and in bytes.
     """
     order = F.xxhash64("doc_id"), F.col("doc_id"), F.col(label)
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).orderBy(*order).limit(rows)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", label)
+    share = (4 * rows + 100) / max(of, 1)
+    low = known.where(F.xxhash64("doc_id") < F.lit(int(share * (1 << 64)) - (1 << 63))) if share < 1 else known
     spark = docs.sparkSession
-    picked = [(int(r[0]), r[1]) for r in chosen.select("doc_id", label).collect()]
+    first = lambda df: [(int(r[0]), r[1]) for r in df.orderBy(*order).limit(rows).collect()]
+    picked = first(low)
+    if share < 1 and len(picked) < rows:
+        picked = first(known)
     if not picked:
         return []
     kind = labels.schema[label].dataType.simpleString()
