@@ -12,14 +12,15 @@ Documents with equal sets form one class, and classes are joined:
    frequent shingles of either hold G + 1 in common. These are dealt to G groups by hash; two shared ones meet in one
    group, so only pairs within a group are indexed. With G near a - need, a set has some 3 (a - need) keys at most.
    G depends on the size of the larger set; a set near a step of G has keys for both. Each set also gives parity bits,
-   one or two a shingle.
+   four to eight a shingle, so that few pairs pass that don't link.
 3. Keys that lead to the same list of sets count once. Lists of up to SHORT classes give all their pairs. Longer lists are
    divided by set size, into bands that overlap; those still longer first give the pairs of each member and six pivots.
    Pairs must pass the length bound and the parity bound (the bits in which two sets differ are at most the shingles in
    which they differ) before the sets themselves are compared.
-4. Members of a long list that these links did not bring together are compared, parity bits only, in blocks of BLOCK by
-   BLOCK; the few pairs that pass have their sets compared as well. So no list is skipped or cut, no group is held in
-   one task, and links inside what is already connected aren't enumerated.
+4. Of a long list whose members these links did not all bring together, those outside of its largest component meet all
+   members of other components, parity bits only, in blocks of BLOCK by BLOCK; the few pairs that pass have their sets
+   compared as well. So no list is skipped or cut, no group is held in one task, and links inside what is already connected
+   aren't looked at.
 5. Components of the links by star contraction.
 
 Sets are compared by 64-bit hashes of their shingles. They are never stored: a comparison reads the texts of the
@@ -49,8 +50,9 @@ NAME = "op6_jaccard_join"
 RARE = 64
 FREQUENT_BOUND = 1_000_000  # shingles, 8 bytes each
 SHORT = 8
-BLOCK = 256
+BLOCK = 2048
 LEAST_BITS = 512  # parity bits of a set
+SPREAD = 4
 PIVOTS = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x7FB5D329728EA185)
 SLOTS = 1 << 20
 HELD = 2_000_000  # shingles that are counted together
@@ -157,8 +159,8 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> bytes:
-    """For each of as many slots as the set has shingles, rounded up to a power of two, whether it has an odd number of them."""
-    slots = max(LEAST_BITS, 1 << (len(s) - 1).bit_length())
+    """For each of SPREAD times as many slots as the set has shingles, rounded up to a power of two, whether it has an odd number of them."""
+    slots = max(LEAST_BITS, SPREAD << (len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -266,18 +268,18 @@ def compared(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent
 
 
 def screen(percent: int):
-    """Pairs of a group (key, i, j) whose labels differ and that lengths and parity bits allow."""
+    """Pairs of a group (key, i, j), of its left rows and its others, whose labels differ and that lengths and parity bits allow."""
 
     def run(table: pa.Table) -> pa.Table:
         cls, label, n = (table.column(c).to_numpy() for c in ("cls", "label", "n"))
         packed = table.column("bits").to_pylist()
         size = min(map(len, packed))
         bits = np.stack([folded(x, size) for x in packed])
-        block, i, j = table.column("block").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        on_left = table.column("left").to_numpy(zero_copy_only=False)
+        left, right = np.flatnonzero(on_left), np.flatnonzero(~on_left)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for k in range(0, len(left), BLOCK):
-            x = left[k : k + BLOCK]
+        for k in range(0, len(left), 64):
+            x = left[k : k + 64]
             differ = np.zeros((len(x), len(right)), np.int64)
             for w in range(bits.shape[1]):
                 differ += np.bitwise_count(bits[x, None, w] ^ bits[None, right, w])
@@ -335,17 +337,19 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> t
     release(lists)
     first = compared(near, rows, reps, n, percent)
     release(near)
-    # Labels for the second round: the least class two steps away. They need not be complete, they only spare comparisons.
-    both = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    label = both.join(least.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("label"))
-    label = label.join(least.withColumnRenamed("label", "own"), "a").select(F.col("a").alias("cls"), F.least("label", "own").alias("label"))
-    known = written(long.select("key", "cls", "size").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    release(banded, least)
-    open_keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK)
-    part = known.join(open_keys, "key").join(reps.select("cls", "n", "bits"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    part = part.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).select("key", "i", "j", "block", "cls", "label", "n", "bits")
+    label = components(first).select(F.col("v").alias("cls"), F.col("root").alias("label"))
+    known = written(long.select("key", "cls").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
+    release(banded)
+    by_label = known.groupBy("key", "label").agg(F.count("*").alias("k"))
+    tops = by_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size")).where("most < size")
+    part = known.join(tops, "key").join(reps.select("cls", "n", "bits"), "cls").withColumn("rest", F.col("label") != F.col("top"))
+    lefts, rights = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
+    upto = lambda x: F.sequence(F.lit(0).cast("long"), x - 1)
+    # Each row of the rest once on the left of every block of members, each member once on the right of every block of the rest.
+    part = part.select("key", "cls", "label", "n", "bits", "rest", F.pmod(F.xxhash64("cls"), lefts).alias("of_left"), F.pmod(F.xxhash64("cls"), rights).alias("of_right"), lefts.alias("lefts"), rights.alias("rights"))
+    left = part.where("rest").select("key", F.col("of_left").alias("i"), F.explode(upto(F.col("rights"))).alias("j"), "cls", "label", "n", "bits", F.lit(True).alias("left"))
+    right = part.select("key", F.explode(upto(F.col("lefts"))).alias("i"), F.col("of_right").alias("j"), "cls", "label", "n", "bits", F.lit(False).alias("left"))
+    part = left.unionByName(right)
     rest = part.groupBy("key", "i", "j").applyInArrow(screen(percent), "a long, b long").distinct()
     rest = written(rest.select("a", "b").join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"), "pairs")
     release(known)
