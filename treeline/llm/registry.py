@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from treeline.llm import op1_substrings, op10_decontaminate, op11_runs, op2_secrets, op3_language, op4_mix, op5_fingerprint, op6_join, op7_quality, op8_html, op9_toxicity
+from treeline.llm import op1_substrings, op10_decontaminate, op11_runs, op12_negatives, op13_neighbours, op2_secrets, op3_language, op4_mix, op5_fingerprint, op6_join, op7_quality, op8_html, op9_toxicity
 
-OPERATORS = (op1_substrings, op2_secrets, op3_language, op4_mix, op5_fingerprint, op6_join, op7_quality, op8_html, op9_toxicity, op10_decontaminate, op11_runs)
+OPERATORS = (op1_substrings, op2_secrets, op3_language, op4_mix, op5_fingerprint, op6_join, op7_quality, op8_html, op9_toxicity, op10_decontaminate, op11_runs, op12_negatives, op13_neighbours)
 QUERIES = {m.NAME: m.query for m in OPERATORS}
 ORACLES = {m.NAME: m.ORACLE for m in OPERATORS if hasattr(m, "ORACLE")}
 
