@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +27,25 @@ class MstConfig:
             raise ValueError(f"fanin must be at least 2, not {self.fanin}")
 
 
+class Counters:
+    """What a run counts on its way, with no job of its own: the first action on a watched table fills it."""
+
+    def __init__(self) -> None:
+        self.seen: list[Observation] = []
+
+    def watch(self, df: DataFrame, *metrics: Column) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *metrics)
+
+    def read(self) -> dict[str, int]:
+        """Sums by name; waits until an action has passed every watched table."""
+        out: dict[str, int] = {}
+        for o in self.seen:
+            for k, v in o.get.items():
+                out[k] = out.get(k, 0) + v
+        return out
+
+
 class InvalidPoints(ValueError):
     """Points that have no defined distances."""
 

@@ -1,23 +1,12 @@
-"""Boruvka's algorithm on an explicit pair table: a second way to the tree, for cross-checks of small inputs."""
+"""Boruvka's algorithm on an explicit pair table, for cross-checks of small inputs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from treeline.operators.components import component_roots
-from treeline.session import written
+from treeline.operators.contraction import spanning_forest
 
 
 def boruvka(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
-    """vertices(id), pairs(src, dst, weight) -> (src, dst, weight), in DataFrame operations only."""
-    pairs = written(pairs.select("src", "dst", "weight"), "pairs")
-    tree = pairs.limit(0)
-    while True:
-        roots = written(component_roots(vertices, tree), "roots")
-        a, b = (roots.select(F.col("id").alias(x), F.col("root").alias(f"root_{x}")) for x in ("src", "dst"))
-        apart = pairs.join(a, "src").join(b, "dst").where("root_src <> root_dst").select(F.struct("weight", "src", "dst").alias("e"), F.explode(F.array("root_src", "root_dst")).alias("root"))
-        least = written(apart.groupBy("root").agg(F.min("e").alias("e")).select("e.src", "e.dst", "e.weight").distinct(), "least")
-        if not least.limit(1).count():
-            return tree.select("src", "dst", "weight")
-        tree = written(tree.unionByName(least).distinct(), "tree")
+    """vertices(id), pairs(src, dst, weight) -> (src, dst, weight), by joins and aggregates only."""
+    return spanning_forest(pairs, 0)

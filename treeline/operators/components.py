@@ -2,53 +2,20 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators.kernels import greatest_reached
+from treeline.operators.contraction import labelled
 from treeline.plans.splits import numbered
 from treeline.session import written
 
-MOST_ROUNDS = 60
-IN_ONE_TASK = 4_000_000  # edges, 16 bytes each
 
-
-def component_roots(vertices: DataFrame, edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
+def component_roots(vertices: DataFrame, edges: DataFrame, in_one_task: int = 0) -> DataFrame:
     """vertices(id), edges(src, dst) -> (id, root): the greatest id that each vertex reaches.
 
-    Edges are counted first. A forest of up to ``in_one_task`` edges is labelled in one task, and a larger one in rounds.
-    """
-    edges = written(edges.select("src", "dst"), "edges")
-    if edges.count() > in_one_task:
-        return component_rounds(vertices, edges)
-
-    def label(table: pa.Table) -> pa.Table:
-        ids, roots = greatest_reached(table.column("src").to_numpy(), table.column("dst").to_numpy())
-        return pa.table({"id": ids, "top": roots})
-
-    tops = edges.groupBy(F.lit(0).alias("all")).applyInArrow(label, "id long, top long")
-    return vertices.select("id").join(tops, "id", "left").select("id", F.coalesce("top", "id").alias("root"))
-
-
-def component_rounds(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same by rounds over tables, for any number of edges.
-
-    Each round hooks every vertex to the greatest root next to it and then jumps pointers; it ends when nothing moves.
+    By rounds that contract the edges; with ``in_one_task``, one task finishes what at most so many edges between sets hold.
     """
-    links = written(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "links")
-    state = written(vertices.select("id", F.col("id").alias("root")), "roots")
-    for _ in range(MOST_ROUNDS):
-        near = links.join(state.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.max("root").alias("near"))
-        hooked = state.join(near, "id", "left").select("id", F.col("root").alias("old"), F.greatest("root", F.coalesce("near", "root")).alias("root"))
-        lifted = hooked.groupBy(F.col("old").alias("id")).agg(F.max("root").alias("lift"))  # a root's whole set follows it
-        moved = written(hooked.join(lifted.withColumnRenamed("id", "old"), "old").select("id", "old", F.greatest("root", "lift").alias("up")), "moved")
-        jump = moved.select(F.col("id").alias("up"), F.col("up").alias("root"))
-        new = written(moved.join(jump, "up").select("id", "old", "root"), "roots")
-        if not new.where("root <> old").limit(1).count():
-            return new.select("id", "root")
-        state = new.select("id", "root")
-    raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
+    return labelled(vertices, edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), in_one_task)
 
 
 def component_count(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,7 +36,7 @@ def cut_at(edges: DataFrame, height: float | Column) -> DataFrame:
 
 def merges(edges: DataFrame) -> DataFrame:
     """(step, src, dst, weight): the merges of single linkage, in order: ranges of the order are numbered side by side."""
-    return numbered(edges.select("src", "dst", "weight"), "weight", "src", "dst").select((F.col("index") + 1).cast("long").alias("step"), "src", "dst", "weight")
+    return numbered(written(edges.select("src", "dst", "weight"), "edges"), "weight", "src", "dst").select((F.col("index") + 1).cast("long").alias("step"), "src", "dst", "weight")
 
 
 def labels_of(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Prim on one subgraph and Kruskal on a union of trees, on arrays.
+"""Prim on one subgraph, and Kruskal and Borůvka on a union of trees, on arrays.
 
 Edges are ordered by (weight, src, dst) throughout. With that total order the minimum spanning tree is unique, so it
 depends neither on how the graph was divided nor on the order of merges.
@@ -100,6 +100,46 @@ def kruskal(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def forest(src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indices, in order, of the edges of the minimum spanning forest of the given edges; what ``kruskal`` gives.
+
+    Borůvka's rounds on whole arrays: every set takes its least edge, and sets that edges took together become one. Each round
+    at least halves the sets, so there is no step in Python for an edge.
+    """
+    order = np.lexsort((dst, src, weight))
+    vertices, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = place[: len(src)][order], place[len(src) :][order]
+    live, sets, chosen = np.arange(len(order)), len(vertices), np.zeros(len(order), bool)
+    while True:
+        apart = a != b
+        a, b, live = a[apart], b[apart], live[apart]
+        if not len(live):
+            return order[chosen]
+        back = np.arange(len(live))[::-1]
+        least = np.full((2, sets), len(live))
+        least[0, a[back]], least[1, b[back]] = back, back  # of several the last one written stays, which is the least
+        least = least.min(0)
+        own = np.flatnonzero(least < len(live))
+        edge = least[own]
+        chosen[live[edge]] = True
+        root = np.arange(sets)
+        root[own] = a[edge] + b[edge] - own
+        top = own[(root[root[own]] == own) & (own < root[own])]  # two sets may have taken the same edge
+        root[top] = top
+        number = settled(root)
+        kept, number = np.unique(number, return_inverse=True)
+        a, b, sets = number[a], number[b], len(kept)
+
+
+def settled(root: np.ndarray) -> np.ndarray:
+    """The end of the way from each place along ``root``, by jumps."""
+    while True:
+        up = root[root]
+        if (up == root).all():
+            return up
+        root = up
+
+
 def greatest_reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of the edges, and the greatest vertex that each reaches. Hooks and pointer jumps on whole arrays."""
     vertices, place = np.unique(np.concatenate([src, dst]), return_inverse=True)
@@ -110,11 +150,7 @@ def greatest_reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.n
         apart = x != y
         a, b, x, y = a[apart], b[apart], x[apart], y[apart]
         np.maximum.at(root, np.minimum(x, y), np.maximum(x, y))
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
+        root = settled(root)
     return vertices, vertices[root]
 
 

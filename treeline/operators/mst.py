@@ -7,8 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.model import MstConfig, validated
-from treeline.operators.kernels import kruskal, nearest, prim
+from treeline.model import Counters, MstConfig, validated
+from treeline.operators.contraction import TASK_ROWS, partial, spanning_forest
+from treeline.operators.kernels import forest, nearest, prim
 from treeline.plans.splits import members, n_subgraphs, schedule, with_splits
 
 
@@ -20,17 +21,27 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _solve(table: pa.Table) -> pa.Table:
-    src, dst, weight = prim(*_arrays(table))
-    return pa.table({"sg": pa.array(np.full(len(src), table.column("sg")[0].as_py()), pa.int32()), "src": src, "dst": dst, "weight": weight})
+    ids, coords, side = _arrays(table)
+    src, dst, weight = prim(ids, coords, side)
+    one, two = int((side == 1).sum()), int((side == 2).sum())
+    seen = np.zeros(len(src), np.int64)
+    seen[:1] = one * two if one + two else len(ids) * (len(ids) - 1) // 2
+    return pa.table({"sg": pa.array(np.full(len(src), table.column("sg")[0].as_py()), pa.int32()), "src": src, "dst": dst, "weight": weight, "distances": seen})
 
 
-def local_trees(points: DataFrame, splits: int) -> DataFrame:
-    """points(id, coords, split) -> (sg, src, dst, weight): the tree of each subgraph, one task for each.
+def local_trees(points: DataFrame, splits: int, tasks: int | None = None, counters: Counters | None = None) -> DataFrame:
+    """points(id, coords, split) -> (sg, src, dst, weight): the tree of each subgraph.
 
-    Subgraph numbers go to partitions as they are; a hash would put several into one task and leave others idle.
+    Subgraphs go to ``tasks`` partitions by number, neighbours to one; by default one each, but no more than twice the cores.
+    A hash would put several into one task and leave others idle.
     """
-    placed = members(points, splits).repartitionById(n_subgraphs(splits), "sg")
-    return placed.groupBy("sg").applyInArrow(_solve, "sg int, src long, dst long, weight double")
+    n = n_subgraphs(splits)
+    tasks = min(n, tasks or 2 * points.sparkSession.sparkContext.defaultParallelism)
+    placed = members(points, splits).withColumn("task", F.floor(F.col("sg").cast("long") * tasks / n).cast("int")).repartitionById(tasks, "task")
+    found = placed.groupBy("task", "sg").applyInArrow(_solve, "sg int, src long, dst long, weight double, distances long")
+    if counters:
+        found = counters.watch(found, F.coalesce(F.sum("distances"), F.lit(0)).alias("distances"), F.count("*").alias("edges_local"))
+    return found.drop("distances")
 
 
 def _nearest(table: pa.Table) -> pa.Table:
@@ -50,25 +61,39 @@ def nearest_neighbors(points: DataFrame, splits: int) -> DataFrame:
 
 def _merge(table: pa.Table) -> pa.Table:
     src, dst, weight = (table.column(c).to_numpy() for c in ("src", "dst", "weight"))
-    kept = kruskal(src, dst, weight)
+    kept = forest(src, dst, weight)
     return pa.table({"grp": pa.array(np.full(len(kept), table.column("grp")[0].as_py()), pa.int32()), "src": src[kept], "dst": dst[kept], "weight": weight[kept]})
 
 
-def merge_round(forests: DataFrame, fanin: int, groups: int) -> DataFrame:
-    """(grp, src, dst, weight) -> the same with grp div fanin: the minimum spanning forest of each new group."""
-    coarser = forests.withColumn("grp", F.floor(F.col("grp") / fanin).cast("int")).repartitionById(groups, "grp")
+def merge_round(forests: DataFrame, fanin: int, groups: int, early: bool = True) -> DataFrame:
+    """(grp, src, dst, weight) -> the same with grp div fanin: the minimum spanning forest of each new group.
+
+    With ``early``, each partition first drops the edges that close a cycle among its own of a group, so that what is shuffled
+    is a forest for each partition and group.
+    """
+    coarser = forests.withColumn("grp", F.floor(F.col("grp") / fanin).cast("int"))
+    coarser = (partial(coarser, "grp") if early else coarser).repartitionById(groups, "grp")
     return coarser.groupBy("grp").applyInArrow(_merge, "grp int, src long, dst long, weight double")
 
 
-def mst(points: DataFrame, splits: int = 2, fanin: int = 3, check: bool = True) -> DataFrame:
+def mst(points: DataFrame, splits: int = 2, fanin: int = 3, check: bool = True, counters: Counters | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """points(id, coords) -> (src, dst, weight), n - 1 edges.
 
     Each task holds two splits of n / splits points; choose splits so that these fit an executor's memory. The edges that
-    leave a local tree number at most splits * n in all, of n * (n - 1) / 2 that the graph has.
+    leave a local tree number at most splits * n in all, of n * (n - 1) / 2 that the graph has. Trees are merged ``fanin`` at
+    a time as long as a merge holds at most ``task_rows`` edges; larger ones become a forest by contraction.
     """
     config = MstConfig(splits, fanin)
     points = validated(points) if check else points
-    trees = local_trees(with_splits(points, config.splits), config.splits).withColumnRenamed("sg", "grp")
-    for groups in schedule(config.splits, config.fanin)[1:]:
+    n = points.count()
+    divided = with_splits(points, config.splits, n)
+    if counters:
+        divided = counters.watch(divided, F.count("*").alias("points"))
+    trees = local_trees(divided, config.splits, None, counters).withColumnRenamed("sg", "grp")
+    if config.fanin * n > task_rows:
+        return spanning_forest(trees, task_rows)
+    for k, groups in enumerate(schedule(config.splits, config.fanin)[1:], 1):
         trees = merge_round(trees, config.fanin, groups)
+        if counters:
+            trees = counters.watch(trees, F.count("*").alias(f"edges_round_{k}"))
     return trees.select("src", "dst", "weight")

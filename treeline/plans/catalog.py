@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from treeline.functions import geometry as G
 from treeline.operators import components as C
+from treeline.operators.contraction import spanning_forest
 from treeline.operators.mst import local_trees, merge_round, mst, nearest_neighbors
-from treeline.plans.splits import members, n_subgraphs, schedule, subgraphs, with_splits
+from treeline.operators.pairs import pairs, pairs_across, pairs_within
+from treeline.operators.spatial import spatial_mst
+from treeline.plans.splits import members, n_subgraphs, numbered, schedule, subgraphs, with_splits
 from treeline.session import shared_dir
 from treeline.sources import matrix
 from treeline.sources.tables import read_splits, read_vectors, save_splits
@@ -82,11 +85,19 @@ def split_assign(spark, d):
 
 
 def split_sizes(spark, d):
-    return with_splits(vectors(spark, d), 7).groupBy("split").agg(F.count("*").alias("n_points"))
+    return split_sizes_of(with_splits(vectors(spark, d), 7))
 
 
 def subgraph_plan(spark, d):
-    return subgraphs(spark, SPLITS)
+    """Every subgraph with the points on its left and right, and the edges that it has."""
+    sizes = split_sizes_of(with_splits(vectors(spark, d), SPLITS))
+    left, right = (sizes.select(F.col("split").alias(k), F.col("n_points").alias(f"n_{k}")) for k in "lr")
+    n = F.when(F.col("kind") == "complete", F.col("n_l") * (F.col("n_l") - 1) / 2).otherwise(F.col("n_l") * F.col("n_r")).cast("long")
+    return subgraphs(spark, SPLITS).join(F.broadcast(left), "l").join(F.broadcast(right), "r").select("sg", "l", "r", "kind", "n_l", "n_r", n.alias("n_edges"))
+
+
+def split_sizes_of(points: DataFrame) -> DataFrame:
+    return points.groupBy("split").agg(F.count("*").alias("n_points"))
 
 
 def subgraph_sizes(spark, d):
@@ -94,12 +105,15 @@ def subgraph_sizes(spark, d):
 
 
 def fanin_schedule(spark, d):
-    return spark.createDataFrame(list(enumerate(schedule(SPLITS, FANIN))), "round int, groups int")
+    """For each round of merges the trees that there are and the points of the largest one."""
+    placed = members(with_splits(vectors(spark, d), SPLITS), SPLITS).select("sg", "id")
+    rounds = spark.createDataFrame([(k, FANIN**k) for k in range(len(schedule(SPLITS, FANIN)))], "round int, of int")
+    held = placed.crossJoin(F.broadcast(rounds)).groupBy("round", F.floor(F.col("sg") / F.col("of")).alias("grp")).agg(F.count_distinct("id").alias("n"))
+    return held.groupBy("round").agg(F.count("*").cast("int").alias("groups"), F.max("n").alias("most_points"))
 
 
 def all_pairs(p: DataFrame) -> DataFrame:
-    a, b = (p.select(F.col("id").alias(i), F.col("coords").alias(c)) for i, c in (("src", "a"), ("dst", "b")))
-    return a.join(b, F.col("src") < F.col("dst")).select("src", "dst", G.distance(F.col("a"), F.col("b")).alias("weight"))
+    return pairs(with_splits(p, SPLITS), SPLITS)
 
 
 def pairwise_distance(spark, d):
@@ -108,21 +122,12 @@ def pairwise_distance(spark, d):
 
 def bipartite_pairs(spark, d):
     """The distances of all bipartite subgraphs."""
-    return subgraph_pairs(spark, d).where(F.col("sg") < SPLITS * (SPLITS - 1) // 2)
+    return rounded(pairs_across(with_splits(vectors(spark, d), SPLITS), SPLITS))
 
 
 def mono_pairs(spark, d):
     """The distances of all complete subgraphs."""
-    return subgraph_pairs(spark, d).where(F.col("sg") >= SPLITS * (SPLITS - 1) // 2)
-
-
-def subgraph_pairs(spark, d):
-    """The distances of every subgraph: those of pairs in two splits, and those within a split."""
-    p = with_splits(vectors(spark, d), SPLITS)
-    a, b = (p.select(F.col("id").alias(i), F.col("coords").alias(c), F.col("split").alias(k)) for i, c, k in (("src", "a", "k"), ("dst", "b", "m")))
-    l, r = F.least("k", "m"), F.greatest("k", "m")
-    sg = F.when(l == r, l + SPLITS * (SPLITS - 1) // 2).otherwise(l + F.floor(r * (r - 1) / 2)).cast("int")
-    return rounded(a.join(b, F.col("src") < F.col("dst")).select(sg.alias("sg"), "src", "dst", G.point_distance(F.col("src"), F.col("a"), F.col("dst"), F.col("b")).alias("weight")))
+    return rounded(pairs_within(with_splits(vectors(spark, d), SPLITS), SPLITS))
 
 
 def nearest_neighbor(spark, d):
@@ -154,6 +159,22 @@ def mst_edges(spark, d):
     return rounded(tree(spark, d))
 
 
+def mst_contracted(spark, d):
+    """The tree by contraction from the local trees: a task may hold 200 edges, so there are several rounds."""
+    return rounded(mst(vectors(spark, d), SPLITS, FANIN, task_rows=200))
+
+
+def forest_of_pairs(spark, d):
+    """The minimum spanning forest of the nearest neighbours' edges."""
+    near = nearest_neighbors(vectors(spark, d), SPLITS)
+    return rounded(spanning_forest(near.select(F.least("id", "near").alias("src"), F.greatest("id", "near").alias("dst"), "weight").distinct(), 0))
+
+
+def mst_spatial(spark, d):
+    """The tree of the parts' sizes and prices by blocks of a kd-tree, of some 64 points each."""
+    return rounded(spatial_mst(parts(spark, d), block_rows=64))
+
+
 def mst_ties(spark, d):
     return rounded(mst(read_vectors(spark, f"{d}/part.parquet", "p_partkey", "p_size"), SPLITS, FANIN))
 
@@ -215,7 +236,7 @@ def matrix_scan(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        mst_edges, mst_weight, mst_topk_heaviest, mst_ties, points_scan, matrix_scan, points_prefix, point_hash, point_equals, point_format, point_format_plain, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
+        mst_edges, mst_contracted, mst_spatial, forest_of_pairs, mst_weight, mst_topk_heaviest, mst_ties, points_scan, matrix_scan, points_prefix, point_hash, point_equals, point_format, point_format_plain, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
         pairwise_distance, bipartite_pairs, mono_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, single_linkage_labels, dendrogram_merges, split_roundtrip, splits_all,
     )
 }
@@ -266,6 +287,10 @@ PAIRS = "a.id AS src, b.id AS dst, round(list_distance(a.v, b.v), 6) AS weight"
 
 ORACLES = {
     "mst_edges": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    "mst_contracted": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    "mst_spatial": whole_sql("p AS MATERIALIZED (SELECT p_partkey AS id, [p_size::DOUBLE, p_retailprice] AS v FROM part)") + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    # Edges of nearest neighbours that have no cycle (ties go to the least id) are their own forest.
+    "forest_of_pairs": f"WITH {EMB}, d AS (SELECT a.id, b.id AS near, list_distance(a.v, b.v) AS w FROM p a JOIN p b ON a.id <> b.id), m AS (SELECT id, min({{'w': w, 'near': near}}) AS m FROM d GROUP BY id) SELECT DISTINCT least(id, m.near) AS src, greatest(id, m.near) AS dst, round(m.w, 6) AS weight FROM m",
     "mst_weight": TREE + " SELECT count(*) AS n_edges, round(sum(weight), 4) AS total FROM t",
     "mst_topk_heaviest": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM (SELECT * FROM t ORDER BY weight DESC, src, dst LIMIT 10)",
     # On a line, equal points hang on the least of their ids, and each group's least on that of the next group.
@@ -283,9 +308,10 @@ ORACLES = {
     "swap_bytes": "SELECT p_partkey AS id, CAST(CASE WHEN w >= 2147483648 THEN w - 4294967296 ELSE w END AS INT) AS swapped FROM (SELECT p_partkey, (p_partkey % 256) * 16777216 + (p_partkey // 256 % 256) * 65536 + (p_partkey // 65536 % 256) * 256 + p_partkey // 16777216 % 256 AS w FROM part)",
     "split_assign": "SELECT id, CAST(k.i AS INT) AS split FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) x JOIN range(7) k(i) ON x.i >= k.i * n // 7 AND x.i < (k.i + 1) * n // 7",
     "split_sizes": "SELECT CAST(k.i AS INT) AS split, (k.i + 1) * n // 7 - k.i * n // 7 AS n_points FROM range(7) k(i), (SELECT count(*) AS n FROM embeddings)",
-    "subgraph_plan": f"WITH {PLAN} SELECT sg, l, r, CASE WHEN l = r THEN 'complete' ELSE 'bipartite' END AS kind FROM sgs",
+    "subgraph_plan": f"WITH {EMB}, {SPLIT}, {PLAN}, z AS (SELECT k, count(*) AS n FROM s GROUP BY k) SELECT sg, l, r, CASE WHEN l = r THEN 'complete' ELSE 'bipartite' END AS kind, a.n AS n_l, b.n AS n_r, CAST(CASE WHEN l = r THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS BIGINT) AS n_edges FROM sgs JOIN z a ON a.k = l JOIN z b ON b.k = r",
     "subgraph_sizes": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, count(*) AS n_points FROM sgs JOIN s ON s.k IN (l, r) GROUP BY sg",
-    "fanin_schedule": f"WITH RECURSIVE x(r, g) AS (SELECT 0, {n_subgraphs(SPLITS)} UNION ALL SELECT r + 1, (g + {FANIN - 1}) // {FANIN} FROM x WHERE g > 1) SELECT CAST(r AS INT) AS round, CAST(g AS INT) AS groups FROM x",
+    "fanin_schedule": f"""WITH RECURSIVE {EMB}, {SPLIT}, {PLAN}, x(r, sz, g) AS (SELECT 0, 1, {n_subgraphs(SPLITS)} UNION ALL SELECT r + 1, sz * {FANIN}, (g + {FANIN - 1}) // {FANIN} FROM x WHERE g > 1),
+ h AS (SELECT x.r, sg // sz AS grp, count(DISTINCT s.id) AS n FROM x CROSS JOIN sgs JOIN s ON s.k IN (l, sgs.r) GROUP BY 1, 2) SELECT CAST(r AS INT) AS round, CAST(count(*) AS INT) AS groups, max(n) AS most_points FROM h GROUP BY r""",
     "pairwise_distance": f"WITH {EMB} SELECT {PAIRS} FROM p a JOIN p b ON a.id < b.id",
     "bipartite_pairs": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, {PAIRS} FROM s a JOIN s b ON a.id < b.id AND a.k <> b.k JOIN sgs ON l = least(a.k, b.k) AND r = greatest(a.k, b.k)",
     "mono_pairs": f"WITH {EMB}, {SPLIT}, {PLAN} SELECT sg, {PAIRS} FROM s a JOIN s b ON a.id < b.id AND a.k = b.k JOIN sgs ON l = a.k AND r = a.k",

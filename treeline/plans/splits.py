@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from treeline.session import written
-
 
 def n_subgraphs(splits: int) -> int:
     return splits * (splits + 1) // 2
@@ -18,10 +16,35 @@ def split_of(index: Column, n: int, splits: int) -> Column:
     return F.expr("0").cast("int") if n == 0 else F.floor(((index + 1) * splits - 1) / F.lit(n)).cast("int")
 
 
+MOST_RANGES = 128
+DRAWN = 64  # keys drawn for each range
+
+
+def range_of(rows: DataFrame, *order: str) -> Column:
+    """The number of the range of keys that a row lies in, as an expression: bounds are drawn once, by a hash of the keys."""
+    ranges = min(MOST_RANGES, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kinds = [rows.schema[c].dataType for c in order]
+    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(DRAWN * ranges).orderBy(*order).collect()
+    bounds = drawn[:: max(1, -(-len(drawn) // ranges))][1:]
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    at = lambda r: F.struct(*[F.lit(x).cast(t).alias(f"k{i}") for i, (x, t) in enumerate(zip(r, kinds, strict=True))])
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < at(bounds[mid]), pick(low, mid)).otherwise(pick(mid + 1, high))
+
+    return pick(0, len(bounds))
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows + index, dense from 0 in the given order. A range partitioning and per-partition counts: no sort in one task."""
-    placed = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "numbered")
-    counts = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    """rows + index, dense from 0 in the given order: ranks within ranges plus the sizes of the ranges before.
+
+    rows are read three times (bounds, sizes, ranks) and not written, so they should be a table; no sort is in one task.
+    """
+    placed = rows.withColumn("part", range_of(rows, *order))
+    counts = placed.groupBy("part").agg(F.count("*").alias("rows"))  # a row a range
     offsets = counts.withColumn("offset", F.coalesce(F.sum("rows").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("part", "offset")
     rank = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1
     return placed.withColumn("rank", rank).join(F.broadcast(offsets), "part").select(*rows.columns, (F.col("offset") + F.col("rank")).alias("index"))
