@@ -70,15 +70,43 @@ def test_points_are_written_as_a_matrix(spark, tmp_path):
 
 def test_sequence_files(spark, tmp_path):
     x = np.random.default_rng(5).random((700, 6))
+    points = spark.createDataFrame([(3 * k, row.tolist()) for k, row in enumerate(x)], POINTS).repartition(3)
+    for kind in ("none", "record", "block"):
+        folder = (tmp_path / kind).as_uri()
+        sequence.write_points(points, folder, kind)
+        rows = sequence.read_points(spark, folder).orderBy("id").collect()
+        assert [r.id for r in rows] == [3 * k for k in range(700)] and np.array_equal(np.array([r.coords for r in rows]), x)
+    sizes = {kind: sum(f.stat().st_size for f in (tmp_path / kind).iterdir() if f.name.startswith("part-")) for kind in ("none", "block")}
+    assert sizes["block"] < sizes["none"]
+    assert len(list((tmp_path / "none").glob("part-*"))) == 3
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [])], POINTS)
+    sequence.write_points(odd, (tmp_path / "odd").as_uri())
+    assert sorted((r.id, r.coords) for r in sequence.read_points(spark, (tmp_path / "odd").as_uri()).collect()) == [(1, [1.0, 2.0]), (2, [])]
+    with pytest.raises(Exception, match="long"):
+        sequence.write_points(spark.createDataFrame([(1 << 31, [1.0])], POINTS), (tmp_path / "wide").as_uri())
+
+
+def test_sequence_files_of_a_class_of_their_own(spark, tmp_path):
+    """Values of another class are read as bytes: an id, a length and so many doubles, all big-endian."""
+    import struct
+
+    short, sync = (lambda b: bytes([len(b)]) + b), bytes(range(16))
+    # Of the class only the name matters, which must be one that is on the class path.
+    head = b"SEQ\x06" + short(b"org.apache.hadoop.io.NullWritable") + short(b"org.apache.hadoop.io.ObjectWritable") + b"\0\0" + struct.pack(">i", 0) + sync
     for k in range(3):
-        (tmp_path / f"part-{k:05d}").write_bytes(sequence.encoded([(i, x[i].tolist()) for i in range(k, 700, 3)]))
-    rows = sequence.read_points(spark, str(tmp_path)).orderBy("id").collect()
-    assert [r.id for r in rows] == list(range(700)) and np.array_equal(np.array([r.coords for r in rows]), x)
-    whole = sequence.encoded([(1, [1.0, 2.0]), (2, [])])
-    assert [(i, c.tolist()) for i, c in sequence.decoded(whole)] == [(1, [1.0, 2.0]), (2, [])]
-    for bad in (b"", b"SEQ\x05", whole[:-3], whole[:30], whole.replace(b"\x00\x00\x00\x00\x00\x00", b"\x01\x00\x00\x00\x00\x00", 1)):
-        with pytest.raises(sequence.SequenceError):
-            list(sequence.decoded(bad))
+        body = b""
+        for i in range(k, 300, 3):
+            value = struct.pack(">ii2d", i, 2, i / 7, -float(i))
+            body += struct.pack(">ii", len(value), 0) + value + (struct.pack(">i", -1) + sync if i % 10 == 0 else b"")
+        (tmp_path / f"part-{k:05d}").write_bytes(head + body)
+    rows = sequence.read_points(spark, tmp_path.as_uri(), split_bytes=500).orderBy("id").collect()
+    assert [(r.id, r.coords) for r in rows] == [(i, [i / 7, -float(i)]) for i in range(300)]
+    (tmp_path / "part-00003").write_bytes(head + struct.pack(">ii", 5, 0) + b"abcde")
+    with pytest.raises(Exception, match="no point"):
+        sequence.read_points(spark, tmp_path.as_uri()).collect()
+    (tmp_path / "part-00003").write_bytes(head + struct.pack(">ii", 500, 0) + b"abcde")
+    with pytest.raises(Exception, match="EOF"):
+        sequence.read_points(spark, tmp_path.as_uri()).collect()
 
 
 def test_split_command(spark, square, tmp_path, capsys):
@@ -91,3 +119,35 @@ def test_sweep_command(spark, capsys):
     assert main(["sweep", "--points", "60", "--dims", "2", "3", "--splits", "1", "3", "--fanin", "2"]) == 0
     got = [eval(x) for x in capsys.readouterr().out.splitlines()]
     assert len(got) == 4 and {x["edges"] for x in got} == {59} and got[0]["weight"] == got[1]["weight"]
+
+
+@pytest.mark.parametrize(("n", "d"), [(1000, 7), (37, 1), (64, 63), (1, 5), (2500, 2)])
+def test_matrix_by_ranges_of_a_file(spark, tmp_path, n, d):
+    x = np.random.default_rng(n).random((n, d))
+    path = tmp_path / "m.bin"
+    matrix.write_matrix(str(path), x)
+    got = matrix.read_matrix(spark, path.as_uri(), split_bytes=1 << 10).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(n)) and np.array_equal(np.array([r.coords for r in got]), x)
+    some = matrix.read_matrix(spark, str(path), rows=1, dims=1).collect()
+    assert [(r.id, r.coords) for r in some] == [(0, [x[0, 0]])]
+
+
+def test_matrix_ranges_are_several_tasks(spark, tmp_path):
+    path = tmp_path / "m.bin"
+    matrix.write_matrix(str(path), np.zeros((4000, 8)))
+    assert matrix._ranges(spark, path.as_uri(), 4000, 8, 0, 1 << 15).rdd.getNumPartitions() >= 7
+    assert matrix.record_words(37, 1) == 38 and matrix.record_words(1000, 7) == 1 and matrix.record_words(1000, 3) == 3001
+
+
+def test_matrix_folders(spark, tmp_path):
+    x = np.random.default_rng(6).random((700, 3))
+    points = spark.createDataFrame([(5 * k, row.tolist()) for k, row in enumerate(x)], POINTS).repartition(5)
+    uri = (tmp_path / "folder").as_uri()
+    matrix.write_parts(points, uri, 3)
+    assert sorted(p.name for p in (tmp_path / "folder").iterdir() if p.suffix == ".bin") == ["part-00000.bin", "part-00001.bin", "part-00002.bin"]
+    got = matrix.read_matrix(spark, uri, rows=600, dims=2).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(600)) and np.array_equal(np.array([r.coords for r in got]), x[:600, :2])
+    (tmp_path / "folder" / "part-00003.bin").write_bytes(b"\x01\x00")
+    for bad, options in ((uri, {}), (str(tmp_path / "none"), {}), ((tmp_path / "folder" / "part-00000.bin").as_uri(), {"rows": 9999}), ((tmp_path / "folder" / "part-00000.bin").as_uri(), {"dims": 4})):
+        with pytest.raises(matrix.MatrixError):
+            matrix.read_matrix(spark, bad, **options)

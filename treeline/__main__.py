@@ -16,14 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.functions.geometry import point_string
+from treeline.model import Counters
 from treeline.operators.mst import mst
+from treeline.operators.spatial import spatial_mst
 from treeline.plans.splits import with_splits
-from treeline.sources import config, matrix, tables
+from treeline.sources import config, matrix, sequence, tables
 
 
 def parser(prog: str, what: str) -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog=prog, description=what)
-    p.add_argument("input", help="a binary matrix (.bin) or a Parquet table")
+    p.add_argument("input", help="a binary matrix (.bin), a folder of sequence files (.seq) or a Parquet table")
     p.add_argument("--id", default="id", help="id column of a table")
     p.add_argument("--coords", nargs="+", default=["coords"], help="vector column, or numeric columns, of a table")
     p.add_argument("--rows", type=int, help="keep the first rows")
@@ -37,6 +39,7 @@ def parser(prog: str, what: str) -> argparse.ArgumentParser:
 def arguments(args: list[str] | None = None) -> argparse.Namespace:
     p = parser("treeline", __doc__)
     p.add_argument("--fanin", type=int, default=3)
+    p.add_argument("--spatial", action="store_true", help="by blocks of a kd-tree, for few dimensions; without splits and fan-in")
     p.add_argument("--out", help="write the edges there as Parquet")
     p.add_argument("--show", type=int, default=0, help="print so many of the heaviest edges")
     return p.parse_args(args)
@@ -44,9 +47,9 @@ def arguments(args: list[str] | None = None) -> argparse.Namespace:
 
 def read_input(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.input.endswith(".bin"):
-        matrix.register(spark)
-        options = {k: v for k, v in (("rows", a.rows), ("dims", a.dims)) if v is not None}
-        points = spark.read.format("treeline_matrix").options(**options).load(a.input)
+        points = matrix.read_matrix(spark, a.input, a.rows, a.dims)
+    elif a.input.endswith(".seq"):
+        points = matrix.prefix(sequence.read_points(spark, a.input), a.rows, a.dims)
     else:
         points = matrix.prefix(tables.read_vectors(spark, a.input, a.id, *a.coords), a.rows, a.dims)
     if a.sample:
@@ -86,12 +89,14 @@ def sweep(args: list[str]) -> int:
     p.add_argument("--dims", type=int, nargs="+", default=[5, 10])
     p.add_argument("--splits", type=int, nargs="+", default=[8])
     p.add_argument("--fanin", type=int, nargs="+", default=[3])
+    p.add_argument("--spatial", action="store_true", help="by blocks of a kd-tree; splits and fan-ins make no difference then")
     p.add_argument("--config", help="properties file with spark.* settings")
     a = p.parse_args(args)
     spark = config.session(config.read_properties(a.config) if a.config else {})
     for n, d, s, k in itertools.product(a.points, a.dims, a.splits, a.fanin):
         began = time.perf_counter()
-        r = mst(clustered(spark, n, d), s, k).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).first()
+        points = clustered(spark, n, d)
+        r = (spatial_mst(points) if a.spatial else mst(points, s, k)).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).first()
         print(json.dumps({"points": n, "dims": d, "splits": s, "fanin": k, "edges": r["edges"], "weight": round(r["weight"] or 0, 6), "seconds": round(time.perf_counter() - began, 2)}), flush=True)
     return 0
 
@@ -104,12 +109,14 @@ def main(args: list[str] | None = None) -> int:
     spark = config.session(config.read_properties(a.config) if a.config else {})
     points = read_input(spark, a)
     began = time.perf_counter()
-    edges = mst(points, a.splits, a.fanin)
+    counters = Counters()
+    edges = spatial_mst(points, counters=counters) if a.spatial else mst(points, a.splits, a.fanin, counters=counters)
     if a.out:
         edges.write.mode("overwrite").parquet(a.out)
         edges = spark.read.parquet(a.out)
     total = edges.agg(F.count("*").alias("edges"), F.sum("weight").alias("weight")).first()
     print(f"edges={total['edges']} weight={total['weight'] or 0:.6f} seconds={time.perf_counter() - began:.2f}")
+    print(" ".join(f"{k}={v}" for k, v in counters.read().items()))
     if a.show:
         edges.orderBy(F.desc("weight"), "src", "dst").limit(a.show).show(a.show, truncate=False)
     return 0

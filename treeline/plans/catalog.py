@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeline.__main__ import main
 from treeline.functions import geometry as G
 from treeline.operators import components as C
 from treeline.operators.contraction import spanning_forest
@@ -16,7 +16,7 @@ from treeline.operators.pairs import pairs, pairs_across, pairs_within
 from treeline.operators.spatial import spatial_mst
 from treeline.plans.splits import members, n_subgraphs, numbered, schedule, subgraphs, with_splits
 from treeline.session import shared_dir
-from treeline.sources import matrix
+from treeline.sources import matrix, sequence
 from treeline.sources.tables import read_splits, read_vectors, save_splits
 
 SPLITS, FANIN, HEIGHT = 4, 3, 1.17
@@ -210,7 +210,7 @@ def dendrogram_merges(spark, d):
 
 
 def saved_splits(spark, d):
-    path = f"{shared_dir(spark).rstrip('/')}/splits-{md5(d.encode()).hexdigest()}"
+    path = f"{shared_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
     save_splits(with_splits(vectors(spark, d), SPLITS), path)
     return path
 
@@ -224,20 +224,54 @@ def splits_all(spark, d):
 
 
 def matrix_scan(spark, d):
-    """The vectors written as one binary matrix, and read by the matrix source, several partitions a file."""
-    path = f"{shared_dir(spark).removeprefix('file:').rstrip('/')}/matrix-{uuid.uuid4().hex}.bin"
-    path = "/" + path.lstrip("/")
-    matrix.write_points(vectors(spark, d), path)
-    matrix.register(spark)
-    points = spark.read.format("treeline_matrix").option("partitionRows", 128).load(path)
+    """The vectors written as a folder of binary matrices, and read by ranges of 16 KB through Hadoop, several a file."""
+    uri = f"{shared_dir(spark).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    matrix.write_parts(vectors(spark, d), uri, 3)
+    points = matrix.read_matrix(spark, uri, split_bytes=1 << 14)
     return points.select("id", G.dimension(F.col("coords")).alias("d"), F.round(F.aggregate("coords", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def sequence_roundtrip(spark, d):
+    """The parts written as block-compressed sequence files, and read back."""
+    uri = f"{shared_dir(spark).rstrip('/')}/points-{uuid.uuid4().hex}.seq"
+    sequence.write_points(parts(spark, d), uri, "block")
+    return sequence.read_points(spark, uri).select("id", G.plain_string(F.col("id"), F.col("coords")).alias("shown"))
+
+
+def sample_display(spark, d):
+    """The first five points, as the commands show them."""
+    return parts(spark, d).orderBy("id").limit(5).select("id", G.point_string(F.col("id"), F.col("coords")).alias("shown"))
+
+
+def paired_display(spark, d):
+    """Points and what was read back of their splits, side by side by position."""
+    p = parts(spark, d)
+    path = f"{shared_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    save_splits(with_splits(p, SPLITS), path)
+    shown = lambda df, name: numbered(df.select("id", "coords"), "id").select("index", G.point_string(F.col("id"), F.col("coords")).alias(name))
+    return shown(p, "left").join(shown(read_splits(spark, path), "right"), "index", "full")
+
+
+def run_command(spark, d):
+    """What ``python -m treeline`` writes for the vectors."""
+    out = f"{shared_dir(spark).rstrip('/')}/edges-{uuid.uuid4().hex}"
+    main([f"{d}/embeddings.parquet", "--id", "vec_id", "--coords", "embedding", "--splits", str(SPLITS), "--out", out])
+    return rounded(spark.read.parquet(out))
+
+
+def split_command(spark, d):
+    """What ``python -m treeline split`` writes for the vectors."""
+    out = f"{shared_dir(spark).rstrip('/')}/splits-{uuid.uuid4().hex}"
+    main(["split", f"{d}/embeddings.parquet", "--id", "vec_id", "--coords", "embedding", "--splits", "7", "--out", out, "--show", "0"])
+    return read_splits(spark, out).select("id", "split")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         mst_edges, mst_contracted, mst_spatial, forest_of_pairs, mst_weight, mst_topk_heaviest, mst_ties, points_scan, matrix_scan, points_prefix, point_hash, point_equals, point_format, point_format_plain, edge_format, swap_bytes, split_assign, split_sizes, subgraph_plan, subgraph_sizes, fanin_schedule,
         pairwise_distance, bipartite_pairs, mono_pairs, nearest_neighbor, local_mst_bipartite, local_mst_complete, local_mst_stats, merge_round_1, component_count, component_root, is_connected, single_linkage_labels, dendrogram_merges, split_roundtrip, splits_all,
+        sequence_roundtrip, sample_display, paired_display, run_command, split_command,
     )
 }
 
@@ -326,5 +360,10 @@ ORACLES = {
     "single_linkage_labels": TREE + ", k AS MATERIALIZED (SELECT src, dst FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, src DESC, dst DESC) AS i FROM t) WHERE i > 9)" + CUT_K + " SELECT id, max(root) AS label FROM r GROUP BY id",
     "dendrogram_merges": TREE + " SELECT row_number() OVER (ORDER BY weight, src, dst) AS step, src, dst, round(weight, 6) AS weight FROM t",
     "split_roundtrip": f"WITH {EMB}, {SPLIT} SELECT id, k AS split, CAST(len(v) AS INT) AS d FROM s WHERE k IN (1, 3)",
+    "sequence_roundtrip": "SELECT p_partkey AS id, format('{} {:.2f} {:.2f}', p_partkey, p_size::DOUBLE, p_retailprice) AS shown FROM part",
+    "sample_display": "SELECT p_partkey AS id, format('{}: [{:.2f}, {:.2f}]', p_partkey, p_size::DOUBLE, p_retailprice) AS shown FROM part ORDER BY p_partkey LIMIT 5",
+    "paired_display": "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS index, format('{}: [{:.2f}, {:.2f}]', p_partkey, p_size::DOUBLE, p_retailprice) AS left, format('{}: [{:.2f}, {:.2f}]', p_partkey, p_size::DOUBLE, p_retailprice) AS right FROM part",
+    "run_command": TREE + " SELECT src, dst, round(weight, 6) AS weight FROM t",
+    "split_command": "SELECT id, CAST(k.i AS INT) AS split FROM (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings) x JOIN range(7) k(i) ON x.i >= k.i * n // 7 AND x.i < (k.i + 1) * n // 7",
     "splits_all": f"WITH {EMB}, {SPLIT} SELECT id, k AS split, round(list_sum(v), 6) AS total FROM s",
 }

@@ -24,6 +24,9 @@ def read_properties(path: str) -> dict[str, str]:
 
 
 def session(properties: dict[str, str], app: str = "treeline") -> SparkSession:
-    """A session with the ``spark.*`` settings; ``spark.master`` defaults to local[*]."""
+    """The active session, or one with the ``spark.*`` settings; ``spark.master`` defaults to local[*]."""
     own = {k: v for k, v in properties.items() if k.startswith("spark.")}
+    found = SparkSession.getActiveSession()
+    if found and not own:
+        return found
     return SparkSession.builder.appName(app).config(map={"spark.master": "local[*]"} | own).getOrCreate()

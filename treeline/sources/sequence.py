@@ -1,105 +1,81 @@
-"""Points in Hadoop sequence files: null keys, values of a big-endian int32 id, an int32 length and that many float64.
+"""Points in Hadoop sequence files, through Hadoop's own formats: any file system, compressed or not, many tasks a file.
 
-Uncompressed files are read and written here, record by record, through Spark's own file source. One file is one task, as
-split files are; a file that doesn't end in a whole record is refused.
+Keys are null; a value is a big-endian int32 id, an int32 length and that many float64. Written values are of the class
+BytesWritable; read are these and, as raw bytes, those of any other class on the class path with this layout.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from treeline.sources.matrix import SCHEMA
 
-BATCH = 8192
-SYNC_SIZE = 16
+LIB = "org.apache.hadoop.mapreduce.lib"
+BYTES, NULL = "org.apache.hadoop.io.BytesWritable", "org.apache.hadoop.io.NullWritable"
+AT_ONCE = 1000  # values that go to the workers together
+MOST_ID = (1 << 31) - 1
 
 
 class SequenceError(ValueError):
-    """A file that is no uncompressed sequence file of points."""
-
-
-def _vint(raw: bytes, at: int) -> tuple[int, int]:
-    """Hadoop's variable-length integer: (value, place after it)."""
-    first = struct.unpack_from("b", raw, at)[0]
-    if first >= -112:
-        return first, at + 1
-    size = -(first + 112) if first >= -120 else -(first + 120)
-    value = int.from_bytes(raw[at + 1 : at + 1 + size], "big")
-    return (value if first >= -120 else ~value), at + 1 + size
-
-
-def _text(raw: bytes, at: int) -> tuple[str, int]:
-    size, at = _vint(raw, at)
-    return raw[at : at + size].decode("utf-8"), at + size
-
-
-def decoded(raw: bytes, name: str = "") -> Iterator[tuple[int, np.ndarray]]:
-    """(id, coords) of each record."""
-    if raw[:3] != b"SEQ" or len(raw) < 4 or raw[3] != 6:
-        raise SequenceError(f"{name}: no sequence file of version 6")
-    try:
-        _, at = _text(raw, 4)
-        _, at = _text(raw, at)
-        if raw[at] or raw[at + 1]:
-            raise SequenceError(f"{name}: compressed")
-        pairs, at = struct.unpack_from(">i", raw, at + 2)[0], at + 6
-        for _ in range(2 * pairs):
-            _, at = _text(raw, at)
-        sync, at = raw[at : at + SYNC_SIZE], at + SYNC_SIZE
-        while at < len(raw):
-            size = struct.unpack_from(">i", raw, at)[0]
-            if size == -1:
-                if raw[at + 4 : at + 4 + SYNC_SIZE] != sync:
-                    raise SequenceError(f"{name}: a wrong sync mark at {at}")
-                at += 4 + SYNC_SIZE
-                continue
-            key = struct.unpack_from(">i", raw, at + 4)[0]
-            value = at + 8 + key
-            id_, d = struct.unpack_from(">ii", raw, value)
-            if d < 0 or size != key + 8 + 8 * d or value + 8 + 8 * d > len(raw):
-                raise SequenceError(f"{name}: no point at {at}")
-            yield id_, np.frombuffer(raw, ">f8", d, value + 8).astype(np.float64)
-            at = value + size - key
-    except (struct.error, IndexError, UnicodeDecodeError) as e:
-        raise SequenceError(f"{name}: it ends inside a record or is damaged") from e
-
-
-def encoded(points: list[tuple[int, list[float]]], value_class: str = "Point", every: int = 2000) -> bytes:
-    """One file, with a sync mark after about ``every`` bytes."""
-    sync = os.urandom(SYNC_SIZE)
-    short = lambda x: struct.pack("b", len(x)) + x
-    out = [b"SEQ\x06", short(b"org.apache.hadoop.io.NullWritable"), short(value_class.encode()), b"\x00\x00", struct.pack(">i", 0), sync]
-    since = 0
-    for id_, coords in points:
-        if since > every:
-            out.append(struct.pack(">i", -1) + sync)
-            since = 0
-        value = struct.pack(f">ii{len(coords)}d", id_, len(coords), *coords)
-        out.append(struct.pack(">ii", len(value), 0) + value)
-        since += len(value) + 8
-    return b"".join(out)
-
-
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """points(id, coords) of the sequence files under a path."""
+    """A value that is no point."""
+
+
+def point(raw: bytes) -> tuple[int, np.ndarray]:
+    """(id, coords) of a raw value. A BytesWritable begins with its length, so its size leaves 4 when divided by 8."""
+    at = 4 if len(raw) % 8 == 4 else 0
+    if len(raw) < at + 8:
+        raise SequenceError(f"no point: {len(raw)} bytes")
+    id_, d = struct.unpack_from(">ii", raw, at)
+    if d < 0 or len(raw) != at + 8 + 8 * d:
+        raise SequenceError(f"no point: {len(raw)} bytes for {d} coordinates")
+    return id_, np.frombuffer(raw, ">f8", d, at + 8).astype(np.float64)
+
+
+def read_points(spark: SparkSession, path: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """points(id, coords) of the sequence files under a path. A damaged file fails the query."""
+    conf = {"mapreduce.input.fileinputformat.split.maxsize": str(split_bytes)}
+    pairs = spark.sparkContext.newAPIHadoopFile(path, f"{LIB}.input.SequenceFileAsBinaryInputFormat", BYTES, BYTES, conf=conf)
+
+    def together(parts: Iterator[tuple[bytearray, bytearray]]) -> Iterator[tuple[list[bytes]]]:
+        held: list[bytes] = []
+        for _, raw in parts:
+            held.append(bytes(raw))
+            if len(held) == AT_ONCE:
+                yield (held,)
+                held = []
+        if held:
+            yield (held,)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for name, raw in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-                ids, rows = [], []
-                for id_, row in decoded(raw, name):
-                    ids.append(id_)
-                    rows.append(row)
-                    if len(ids) == BATCH:
-                        yield pa.RecordBatch.from_pydict({"id": ids, "coords": rows}, schema=SCHEMA)
-                        ids, rows = [], []
-                if ids:
-                    yield pa.RecordBatch.from_pydict({"id": ids, "coords": rows}, schema=SCHEMA)
-
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(run, "id long, coords array<double>")
+            for values in part.column("values").to_pylist():
+                ids, rows = zip(*map(point, values), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(rows), SCHEMA.field("coords").type)], schema=SCHEMA)
+
+    return spark.createDataFrame(pairs.mapPartitions(together), "values array<binary>").mapInArrow(run, "id long, coords array<double>")
+
+
+def write_points(points: DataFrame, path: str, compression: str = "none") -> None:
+    """points(id, coords) to a new folder of sequence files, one a partition. compression: none, record or block.
+
+    Ids must fit 32 bits, as the format has it.
+    """
+    wide = F.raise_error(F.concat(F.lit("an id too long for the format: "), F.col("id").cast("string")))
+    fit = F.when(F.col("id").between(-MOST_ID - 1, MOST_ID), F.col("id")).otherwise(wide.cast("long"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists = part.column("coords")
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(">f8"), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+            made = [struct.pack(">ii", i, b - a) + flat[a:b].tobytes() for i, a, b in zip(part.column("id").to_pylist(), ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+
+    values = points.select(fit.alias("id"), "coords").mapInArrow(run, "value binary")
+    conf = {"mapreduce.output.fileoutputformat.compress": str(compression != "none").lower(), "mapreduce.output.fileoutputformat.compress.type": compression.upper(), "mapreduce.output.fileoutputformat.compress.codec": "org.apache.hadoop.io.compress.DefaultCodec"}
+    values.rdd.map(lambda r: (None, r[0])).saveAsNewAPIHadoopFile(path, f"{LIB}.output.SequenceFileOutputFormat", NULL, BYTES, conf=conf)
