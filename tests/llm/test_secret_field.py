@@ -71,3 +71,25 @@ def test_whole_scans_against_brute_force(spark, model, texts):
         assert [s for s in x.spans.split(",") if s and not s.startswith("crf")] == shown
         covered = {p for a, _, z in want for p in range(a, z)}
         assert not any(covered & set(range(*map(int, s.split(":")[1:]))) for s in x.spans.split(",") if s.startswith("crf"))
+
+
+def test_long_texts_take_time_in_proportion():
+    """8 MB of hashes, tokens and words, and their spans against those of the text cut in pieces."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    draw = lambda n, of="0123456789abcdef": "".join(rng.choices(of, k=n))
+    kinds = [lambda: draw(32), lambda: "token=" + draw(12), lambda: "é glpat-" + draw(20, "abcXYZ0189"), lambda: "some plain words here", lambda: "AKIA" + draw(16, "ABC012")]
+    lines = [rng.choice(kinds)() for _ in range(20_000)]
+    model = op2_secrets.fit(*op2_secrets.windows(op2_secrets.examples([])[:200]), epochs=10)
+    spread = [0]
+    while spread[-1] < 8_000_000:
+        spread.append(spread[-1] + sum(len(x) + 1 for x in lines))
+    text = "\n".join(lines * (len(spread) - 1))
+    began = time.process_time()
+    got = op2_secrets.spans_of([text], model)[0]
+    assert time.process_time() - began < 20
+    assert len(got) > 100_000 and got == sorted(got)
+    first = op2_secrets.spans_of(["\n".join(lines)], model)[0]
+    assert [x for x in got if x[2] < spread[1] - 200] == [x for x in first if x[2] < spread[1] - 200]

@@ -368,27 +368,36 @@ def train(docs: DataFrame) -> Model:
 
 
 def spans_of(texts: list[str | None], model: Model) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of the spans of each text, by start, then kind."""
+    """(start, kind, end) of the spans of each text, by start, then kind. Work is in proportion to the text."""
     out = [base_spans(t or "") for t in texts]
     for b, slots in tokens_of(texts):
         for k, found in tagged(model, b, slots).items():
-            text = texts[b.first + k] or ""
-            raw = text.encode("utf-8")
-            own = out[b.first + k]
-            place = [(len(raw[:a].decode("utf-8")), len(raw[:z].decode("utf-8"))) for a, z in found]
-            out[b.first + k] = sorted(own + [(a, 3, z) for x in place for a, z in outside(*x, own) if any(c.isalnum() for c in text[a:z])])
+            text, own = texts[b.first + k] or "", out[b.first + k]
+            raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+            point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points that begin before each byte
+            more = uncovered([(int(point[a]), int(point[z])) for a, z in found], [(a, z) for a, _, z in own])
+            out[b.first + k] = sorted(own + [(a, 3, z) for a, z in more if any(c.isalnum() for c in text[a:z])])
     return out
 
 
 def outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a range that no span covers. spans: by start."""
-    parts = []
-    for a, _, z in spans:
-        if a < end and z > start:
+    """The parts of a range that no span covers. spans: (start, kind, end), by start."""
+    return uncovered([(start, end)], [(a, z) for a, _, z in spans])
+
+
+def uncovered(ranges: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of ranges that no span covers, in one pass over both. Both by start; ranges don't overlap."""
+    parts, k, covered = [], 0, 0  # covered: how far the spans that were passed reach
+    for start, end in ranges:
+        start = max(start, min(covered, end))
+        while k < len(spans) and spans[k][0] < end:
+            a, z = spans[k]
             if a > start:
                 parts.append((start, a))
-            start = max(start, z)
-    return [*parts, (start, end)] if start < end else parts
+            start, covered, k = max(start, min(z, end)), max(covered, z), k + 1
+        if start < end:
+            parts.append((start, end))
+    return parts
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
