@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -57,3 +58,20 @@ def test_foreign_texts_and_junk_are_rejected_and_clean_texts_are_not(spark):
     kept = {x.doc_id for x in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert set(clean) <= kept and len(kept & {k for k, *_ in rows}) == len(rows)
     assert not kept & set(foreign) and not kept & set(junk)
+
+
+def test_the_model_is_bounded_over_long_texts_of_many_letters():
+    """Texts of 20,000 Han characters drawn by a Zipf law, which have millions of n-grams."""
+    rng = np.random.default_rng(2)
+    draw = lambda n: "".join(map(chr, 0x4E00 + np.minimum(rng.zipf(1.2, n), 15_000)))
+    rows = [(k, "zh", draw(20_000)) for k in range(90)] + [(100 + k, "en", " ".join(f"word{x}" for x in rng.integers(0, 999, 3000))) for k in range(90)]
+    model = op3_language.fit(rows)
+    assert model.landmarks.shape == (op3_language.COLUMNS, op3_language.LANDMARKS) and op3_language.megabytes(model) < op3_language.MOST_MB
+    assert op3_language.predicted(model, [draw(300), "some words in english", draw(20)])[0] == ["zh", "en", "zh"]
+
+
+def test_a_model_over_the_limit_is_not_broadcast(spark, monkeypatch):
+    model = op3_language.fit([(1, "en", "some words"), (2, "de", "ein paar worte")])
+    monkeypatch.setattr(op3_language, "MOST_MB", 1)
+    with pytest.raises(ValueError, match="may be broadcast"):
+        op3_language.identify(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model)

@@ -12,8 +12,8 @@ LANDMARKS serve as landmarks, the same number from each language as far as there
 Defined results for odd input: null text and text without a letter give ``und`` and score 0; without any labelled row
 to learn from, every text gives ``und``; a null doc_id hashes as empty text, hence held out; repeated rows are scored
 each; ties go to the language first by code point; texts of any length are scored whole; an empty table gives no rows;
-other columns are ignored. What is broadcast is bounded by the fit's limits: n-grams of at most LANDMARKS texts of at most
-FIT_CHARS code points, a tenth of that as a rule, and a class for each code point.
+other columns are ignored. What is broadcast is bounded and checked, at most MOST_MB = 200 MB: COLUMNS n-grams of LANDMARKS
+texts (67 MB; of more n-grams those that most landmarks have), tables of DENSE slots, and a class for each code point.
 """
 
 from __future__ import annotations
@@ -46,6 +46,8 @@ TOWARDS = 1 / 3
 OF_MANY = 0.1  # of a language's landmarks must have a trigram, so that passages in another language don't count
 SIGMAS = 3
 CELLS = 1 << 24  # of a presence matrix
+COLUMNS = 1 << 17  # n-grams that the model knows at most, 4 bytes a landmark each
+MOST_MB = 200  # of a model
 
 
 @dataclass
@@ -140,7 +142,7 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
     for t in texts:
         for n, gram in model.ngrams(t):
             seen[n - 1].append(np.unique(gram))
-    model.grams = [np.unique(np.concatenate(x)) for x in seen]
+    model.grams = commonest([np.concatenate(x) for x in seen])
     ends = np.cumsum([0, *map(len, model.grams)]).tolist()
     model.spans = list(zip(ends[:-1], ends[1:], strict=True))
     for n, known, first in zip(ORDERS, model.grams, ends, strict=False):
@@ -172,6 +174,29 @@ def fit(rows: list[tuple[int, str, str]]) -> Model | None:
     return model
 
 
+def commonest(seen: list[np.ndarray]) -> list[np.ndarray]:
+    """The distinct n-grams of each n in order; of more than COLUMNS those that most landmarks have."""
+    found = [np.unique(x, return_counts=True) for x in seen]
+    times = np.concatenate([n for _, n in found])
+    keep = np.zeros(len(times), bool)
+    keep[np.argsort(-times, kind="stable")[:COLUMNS]] = True
+    ends = np.cumsum([0, *(len(x) for x, _ in found)])
+    return [x[keep[a:b]] for (x, _), a, b in zip(found, ends[:-1], ends[1:], strict=True)]
+
+
+def megabytes(model: Model | None) -> float:
+    """What the arrays of a model take."""
+    held = [model.classes, *model.grams, *model.tables, model.landmarks, model.weights, model.having] if model else []
+    return sum(x.nbytes for x in held if x is not None) / 1e6
+
+
+def shared_model(spark: SparkSession, model: Model | None):
+    """The broadcast model; an error if it is over MOST_MB, which COLUMNS rules out for up to 50 languages."""
+    if megabytes(model) > MOST_MB:
+        raise ValueError(f"the language model takes {megabytes(model):.0f} MB, and {MOST_MB} may be broadcast")
+    return spark.sparkContext.broadcast(model)
+
+
 def least_share(model: Model, lang: int, rows: list[tuple[int, str, str]], chosen: set[int]) -> float:
     """The share of known trigrams that a text of the language must have, between its labelled texts and the others'.
 
@@ -228,7 +253,7 @@ def predictor(model):
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, held_out, lang_pred, score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = shared_model(spark, model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 0).alias("held_out"), F.col("text"))
     return rows.mapInArrow(predictor(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -239,7 +264,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     The score alone rejects little: the languages' outputs add up to 2 - L, so the best of L scores is 1 / L at least. What
     tells a foreign text or junk is that too few of its trigrams are known from the language it was given (Model.foreign).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_model(docs.sparkSession, model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
