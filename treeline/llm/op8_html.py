@@ -59,12 +59,15 @@ BLOCKS = {
 }
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "label", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|discussion|replies|respond|disqus\w*|related|recommend\w*|share|sharing|social|widget|toolbar|pagination|pager|login)(?=$|[\s_-])", re.I)
+#: Words that name furniture: in classes and ids of which every other word says no more than where or what kind of box.
+NAMES = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|sidebar\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|discussion|replies|respond|disqus\w*|related|recommend\w*|share|sharing|social|widget|toolbar|pagination|pager|login")
 #: In a marked article, only these elements and names are furniture.
 WITHIN = {"nav", "footer", "form", "menu", "dialog", "button", "label", "search"}
-NAMES_WITHIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|signup|navbar|breadcrumbs?|comments?|commentlist|replies|respond|disqus\w*|share|sharing|social|pagination|pager)(?=$|[\s_-])", re.I)
+NAMES_WITHIN = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|signup|navbar|breadcrumbs?|comments?|commentlist|replies|respond|disqus\w*|share|sharing|social|pagination|pager")
 #: Around a marked article, these make it no article.
-NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|discussion|replies|respond|disqus\w*|related|recommend\w*)(?=$|[\s_-])", re.I)
+NO_ARTICLE = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|comments?|commentlist|discussion|replies|respond|disqus\w*|related|recommend\w*")
+REPLIES = re.compile(r"comments?|reply|replies")
+PLAIN = re.compile(r"site|page|global|main|top|bottom|left|right|upper|lower|inner|outer|wrap(?:per)?|container|holder|box|block|area|section|bar|strip|panel|pane|slot|unit|zone|list|items?|links?|buttons?|btn|icons?|group|row|col|column|primary|secondary|user|post|entry|article|content|mobile|desktop|sticky|fixed|js|ui|[a-z]|\d*")
 #: What a new element closes if that is open: HTML's implied end tags.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -74,6 +77,15 @@ COPY = 0.9
 AROUND = 2
 
 
+def named(words: re.Pattern, names: tuple[str, ...]) -> bool:
+    """Whether a class or an id names furniture: one of its words does, and none of the others has a meaning of its own."""
+    for token in " ".join(names).split():
+        parts = re.split(r"[-_:]+", token)
+        if any(map(words.fullmatch, parts)) and all(words.fullmatch(p) or NAMES.fullmatch(p) or PLAIN.fullmatch(p) for p in parts):
+            return True
+    return False
+
+
 def lines(page: str | None) -> list[tuple[str, str, bool, bool]]:
     """(text, where it stands, whether that is furniture, whether it is in a marked article) of each block with text."""
     out: list[tuple[str, str, bool, bool]] = []
@@ -136,20 +148,20 @@ def lines(page: str | None) -> list[tuple[str, str, bool, bool]]:
         if attributes.rstrip().endswith("/") and name not in BLOCKS:
             continue
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
-        role, named = found.get("role", ""), (found.get("class", ""), found.get("id", ""))
+        role, names = found.get("role", ""), (found.get("class", ""), found.get("id", ""))
         main = name in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articlebody"
         unseen = name in RAW or "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
         stack.append((name, soft, hard, good))
         if main:
-            off = unseen or any(re.search(r"(?:^|[\s_-])(?:comments?|reply|replies)(?=$|[\s_-])", x) for x in named)
+            off = unseen or named(REPLIES, names)
             hard += off
             if not hard:
                 soft, good = 0, good + 1
         elif good:
-            hard += unseen or name in WITHIN or role in ROLES or any(map(NAMES_WITHIN.search, named))
+            hard += unseen or name in WITHIN or role in ROLES or named(NAMES_WITHIN, names)
         elif name not in ("html", "body"):
-            hard += unseen or name in FURNITURE - {"form"} or role in ROLES - {"form"} or any(map(NO_ARTICLE.search, named))
-            soft += "form" in (name, role) or any(map(NAMES.search, named))
+            hard += unseen or name in FURNITURE - {"form"} or role in ROLES - {"form"} or named(NO_ARTICLE, names)
+            soft += "form" in (name, role) or named(NAMES, names)
     flush()
     return out
 
