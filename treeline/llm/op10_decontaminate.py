@@ -28,7 +28,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,7 +221,25 @@ class Model:
     spaces: list[Space]
 
 
-def train(docs: DataFrame, benchmark: DataFrame) -> list[Model]:
+class Shards:
+    """The models of a benchmark, one for each shard of it. Each is fitted when it is its turn, so the driver holds one at a time."""
+
+    def __init__(self, size: int, fit: Callable[[int], Model]) -> None:
+        self.size, self.fit, self.only = size, fit, None
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __iter__(self) -> Iterator[Model]:
+        for k in range(self.size):
+            if self.size == 1:
+                self.only = self.only or self.fit(k)
+                yield self.only
+            else:
+                yield self.fit(k)
+
+
+def train(docs: DataFrame, benchmark: DataFrame) -> Shards:
     """docs(text), benchmark(item_id, text) -> a model for each shard of the benchmark, which is the stated query set."""
     spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"))
@@ -230,8 +248,8 @@ def train(docs: DataFrame, benchmark: DataFrame) -> list[Model]:
     shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
     n = docs.select("text").count()
     share = min(1.0, (2 * FIT_WINDOWS + 100) / max(n, 1))
-    models = []
-    for k in range(shards):
+
+    def fit(k: int) -> Model:
         items = items_of([(r[0], r[1]) for r in rows.where(shard == k).orderBy("item_id", "text").collect()])
         terms = np.unique(np.concatenate([x.words for x in items])) if items else np.zeros(0, np.uint64)
         shared = spark.sparkContext.broadcast(terms)
@@ -240,8 +258,9 @@ def train(docs: DataFrame, benchmark: DataFrame) -> list[Model]:
         for r in counted.where("term IS NOT NULL").groupBy("term").agg(F.sum("docs").alias("docs")).collect():
             df[r["term"]] = r["docs"]  # -1: all documents
         drawn = counted.where("h IS NOT NULL").dropDuplicates(["h"]).orderBy("h").limit(FIT_WINDOWS).select("window")
-        models.append(fitted(spark, items, terms, df[:-1], df[-1], drawn))
-    return models
+        return fitted(spark, items, terms, df[:-1], df[-1], drawn)
+
+    return Shards(shards, fit)
 
 
 def fitted(spark: SparkSession, items: list[Item], terms: np.ndarray, df: np.ndarray, n: float, drawn: DataFrame | None = None) -> Model:
@@ -356,7 +375,7 @@ def leaks_of(model: Model, b: words.Block) -> list[tuple[int, int, int, float, f
     return out
 
 
-def leaks(docs: DataFrame, models: list[Model]) -> DataFrame:
+def leaks(docs: DataFrame, models: Shards | list[Model]) -> DataFrame:
     """docs(doc_id, text) -> doc_id, item_id, n_common, share, cosine: one row for each document and item that it leaks."""
     kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_common", pa.int64()), ("share", pa.float64()), ("cosine", pa.float64())])
 
@@ -375,13 +394,17 @@ def leaks(docs: DataFrame, models: list[Model]) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for model in models:
-        part = rows.mapInArrow(finder(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, item_id long, n_common long, share double, cosine double")
+    for k, model in enumerate(models, 1):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        part = rows.mapInArrow(finder(shared), "doc_id long, item_id long, n_common long, share double, cosine double")
+        if k < len(models):
+            part = written(part, "leaks")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_common").alias("n_common"), F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
 
-def clean(docs: DataFrame, models: list[Model]) -> DataFrame:
+def clean(docs: DataFrame, models: Shards | list[Model]) -> DataFrame:
     """docs without the rows that leak an item; all columns stay."""
 
     def keeper(shared):
@@ -395,8 +418,12 @@ def clean(docs: DataFrame, models: list[Model]) -> DataFrame:
 
         return run
 
-    for model in models:
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    for k, model in enumerate(models, 1):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+        docs = docs.mapInArrow(keeper(shared), docs.schema)
+        if k < len(models):
+            docs = written(docs, "clean")
+            shared.destroy()
     return docs
 
 
