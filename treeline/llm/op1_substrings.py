@@ -118,6 +118,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         made.join(several, "digest").where("NOT doc_id <=> lo")
         .select("doc_id", "text_hash", "lo", F.shiftrightunsigned("span", 32).alias("a"), F.col("span").bitwiseAND(half).alias("z"), F.shiftrightunsigned("words", 32).alias("u"), F.col("words").bitwiseAND(half).alias("v"))
     )
+    found = found.distinct()  # equal rows have equal spans: so a row that occurs a million times is one here
     row = ["doc_id", "text_hash"]
     by_place = W.partitionBy(*row).orderBy("a", "z")
     found = found.withColumn("new", (F.col("a") > F.coalesce(F.max("z").over(by_place.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
