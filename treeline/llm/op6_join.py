@@ -14,12 +14,12 @@ Documents with equal sets form one class, and classes are joined:
    G depends on the size of the larger set; a set near a step of G has keys for both. Each set also gives parity bits,
    four to eight a shingle, so that few pairs pass that don't link.
 3. Keys that lead to the same list of sets count once. Lists of up to SHORT classes give all their pairs. Longer lists are
-   divided by set size, into bands that overlap; those still longer first give the pairs of each member and six pivots.
-   Pairs must pass the length bound and the parity bound (the bits in which two sets differ are at most the shingles in
+   divided by set size, into bands that overlap; those still longer give the pairs of each member and six pivots. The first
+   pivot's pairs come first, and of all others only those count whose sets these have not connected. Pairs must pass the length bound and the parity bound (the bits in which two sets differ are at most the shingles in
    which they differ) before the sets themselves are compared.
 4. Of a long list whose members these links did not all bring together, those outside of its largest component meet all
-   members of other components, parity bits only, in blocks of BLOCK by BLOCK; the few pairs that pass have their sets
-   compared as well. So no list is skipped or cut, no group is held in one task, and links inside what is already connected
+   members of other components, parity bits only, in blocks of BLOCK by BLOCK. Of the pairs that pass, each member's likeliest
+   one with each component has its sets compared first; where such a pair doesn't link, all that pass are. So no list is skipped or cut, no group is held in one task, and links inside what is already connected
    aren't looked at.
 5. Components of the links by star contraction.
 
@@ -52,7 +52,6 @@ FREQUENT_BOUND = 1_000_000  # shingles, 8 bytes each
 SHORT = 8
 BLOCK = 2048
 LEAST_BITS = 512  # parity bits of a set
-SPREAD = 4
 PIVOTS = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x7FB5D329728EA185)
 SLOTS = 1 << 20
 HELD = 2_000_000  # shingles that are counted together
@@ -158,9 +157,14 @@ def keys_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def parity(s: np.ndarray) -> bytes:
-    """For each of SPREAD times as many slots as the set has shingles, rounded up to a power of two, whether it has an odd number of them."""
-    slots = max(LEAST_BITS, SPREAD << (len(s) - 1).bit_length())
+def spread_of(percent: int) -> int:
+    """Parity bits a shingle: the closer sets must be to link, the fewer bits tell others apart."""
+    return 1 if percent >= 90 else 4
+
+
+def parity(s: np.ndarray, spread: int = 4) -> bytes:
+    """For each of ``spread`` times as many slots as the set has shingles, rounded up to a power of two, whether it has an odd number of them."""
+    slots = max(LEAST_BITS, spread << (len(s) - 1).bit_length())
     odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -197,7 +201,7 @@ def indexer(shared, n: int, percent: int):
                 out["n"].append(len(s))
                 out["cls"].append(class_of(s) if len(s) else None)
                 out["keys"].append(keys.view(np.int64) if linked else None)
-                out["bits"].append(parity(s) if linked else None)
+                out["bits"].append(parity(s, spread_of(percent)) if linked else None)
                 size += len(keys)
                 if size > AT_ONCE:
                     yield batch(k + 1)
@@ -267,8 +271,11 @@ def compared(pairs: DataFrame, rows: DataFrame, reps: DataFrame, n: int, percent
     return written(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(comparer(percent), "a long, b long").distinct(), "links")
 
 
-def screen(percent: int):
-    """Pairs of a group (key, i, j), of its left rows and its others, whose labels differ and that lengths and parity bits allow."""
+def screen(percent: int, best: bool):
+    """Pairs of a group (key, i, j), of its left rows and its others, whose labels differ and that lengths and parity bits allow.
+
+    ``best``: of the pairs that a left row has with the members of one label, the one whose bits differ least.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         cls, label, n = (table.column(c).to_numpy() for c in ("cls", "label", "n"))
@@ -287,14 +294,34 @@ def screen(percent: int):
             ok = (differ * (100 + percent) <= total * (100 - percent)) & (label[x, None] != label[None, right])
             ok &= np.minimum(n[x, None], n[None, right]) * 100 >= np.maximum(n[x, None], n[None, right]) * percent
             p, q = np.nonzero(ok)
+            if best and len(p):
+                by = np.lexsort((differ[p, q], label[right[q]], p))
+                p, q = p[by], q[by]
+                first = np.concatenate([[True], (p[1:] != p[:-1]) | (label[right[q[1:]]] != label[right[q[:-1]]])])
+                p, q = p[first], q[first]
             found.append((cls[x[p]], cls[right[q]]))
         a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        return pa.table({"key": np.full(len(pairs), table.column("key")[0].as_py(), np.int64), "a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
 
+def screened(known: DataFrame, reps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """known(key, cls, label): members of lists -> (key, a, b): of the members outside of a list's most frequent label, the pairs
+    with members of other labels that may link. They meet in blocks of BLOCK by BLOCK."""
+    by_label = known.groupBy("key", "label").agg(F.count("*").alias("k"))
+    tops = by_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size")).where("most < size")
+    part = known.join(tops, "key").join(reps.select("cls", "n", "bits"), "cls").withColumn("rest", F.col("label") != F.col("top"))
+    lefts, rights = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
+    upto = lambda x: F.sequence(F.lit(0).cast("long"), x - 1)
+    # Each row of the rest once on the left of every block of members, each member once on the right of every block of the rest.
+    part = part.select("key", "cls", "label", "n", "bits", "rest", F.pmod(F.xxhash64("cls"), lefts).alias("of_left"), F.pmod(F.xxhash64("cls"), rights).alias("of_right"), lefts.alias("lefts"), rights.alias("rights"))
+    left = part.where("rest").select("key", F.col("of_left").alias("i"), F.explode(upto(F.col("rights"))).alias("j"), "cls", "label", "n", "bits", F.lit(True).alias("left"))
+    right = part.select("key", F.explode(upto(F.col("lefts"))).alias("i"), F.col("of_right").alias("j"), "cls", "label", "n", "bits", F.lit(False).alias("left"))
+    return left.unionByName(right).groupBy("key", "i", "j").applyInArrow(screen(percent, best), "key long, a long, b long")
+
+
 def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All pairs of the lists of at most SHORT classes, as far as their lengths allow."""
     short = lists.where(F.col("size") <= SHORT)
@@ -323,7 +350,6 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> t
     alike = live.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).groupBy("size", "x", "y").agg(F.min("key").alias("key"))
     lists = written(live.join(alike.select("key", "size"), "key"), "lists")
     release(live)
-    pairs = short_pairs(lists, percent)
     # Long lists fall apart by size: two sets that link lie in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
     banded = lists.where(F.col("size") > SHORT).select("cls", "n", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
@@ -331,27 +357,33 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> t
     sizes = banded.groupBy("key").agg(F.count("*").alias("size"), *pivots).where("size > 1")
     banded = written(banded.join(sizes, "key").select("key", "cls", "n", "size", F.array(*[f"p{k}" for k in range(len(PIVOTS))]).alias("pivots")), "lists")
     long = banded.where(F.col("size") > SHORT)
-    star = long.select("cls", F.explode(F.array_distinct("pivots")).alias("p")).where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-    pairs = pairs.unionByName(short_pairs(banded, percent)).unionByName(star).distinct()
-    near = written(likely(pairs, reps, percent), "pairs")
-    release(lists)
+    star = lambda pivots: long.select("cls", F.explode(F.array_distinct(pivots)).alias("p")).where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
+    # The first pivot of the long lists connects most of a large group; other pairs count only where that has left two apart.
+    near = written(likely(star(F.slice("pivots", 1, 1)).distinct(), reps, percent), "pairs")
     first = compared(near, rows, reps, n, percent)
     release(near)
+    sides = written(components(first), "sides")
+    pairs = short_pairs(lists, percent).unionByName(short_pairs(banded, percent)).unionByName(star(F.slice("pivots", 2, len(PIVOTS)))).distinct()
+    for x in "ab":
+        pairs = pairs.join(sides.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    near = written(likely(pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), reps, percent), "pairs")
+    release(lists, sides)
+    first = first.unionByName(compared(near, rows, reps, n, percent))
+    release(near)
     label = components(first).select(F.col("v").alias("cls"), F.col("root").alias("label"))
     known = written(long.select("key", "cls").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     release(banded)
-    by_label = known.groupBy("key", "label").agg(F.count("*").alias("k"))
-    tops = by_label.groupBy("key").agg(F.max_by("label", F.struct("k", "label")).alias("top"), F.max("k").alias("most"), F.sum("k").alias("size")).where("most < size")
-    part = known.join(tops, "key").join(reps.select("cls", "n", "bits"), "cls").withColumn("rest", F.col("label") != F.col("top"))
-    lefts, rights = F.ceil((F.col("size") - F.col("most")) / BLOCK), F.ceil(F.col("size") / BLOCK)
-    upto = lambda x: F.sequence(F.lit(0).cast("long"), x - 1)
-    # Each row of the rest once on the left of every block of members, each member once on the right of every block of the rest.
-    part = part.select("key", "cls", "label", "n", "bits", "rest", F.pmod(F.xxhash64("cls"), lefts).alias("of_left"), F.pmod(F.xxhash64("cls"), rights).alias("of_right"), lefts.alias("lefts"), rights.alias("rights"))
-    left = part.where("rest").select("key", F.col("of_left").alias("i"), F.explode(upto(F.col("rights"))).alias("j"), "cls", "label", "n", "bits", F.lit(True).alias("left"))
-    right = part.select("key", F.explode(upto(F.col("lefts"))).alias("i"), F.col("of_right").alias("j"), "cls", "label", "n", "bits", F.lit(False).alias("left"))
-    part = left.unionByName(right)
-    rest = part.groupBy("key", "i", "j").applyInArrow(screen(percent), "a long, b long").distinct()
-    rest = written(rest.select("a", "b").join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b"), "pairs")
+    lengths = lambda met: met.select("a", "b").distinct().join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
+    # First each member's likeliest pair with a component. Only where one of these doesn't link are all pairs looked at.
+    met = written(screened(known, reps, percent, True), "met")
+    first = first.unionByName(compared(written(lengths(met), "pairs"), rows, reps, n, percent))
+    label = written(components(first), "sides")
+    for x in "ab":
+        met = met.join(label.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    still = met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct()
+    known = known.join(still, "key", "left_semi").select("key", "cls").join(label.select(F.col("v").alias("cls"), F.col("root").alias("label")), "cls", "left")
+    known = written(known.withColumn("label", F.coalesce("label", "cls")), "labelled")
+    rest = written(lengths(screened(known, reps, percent, False)), "pairs")
     release(known)
     return sets, first.unionByName(compared(rest, rows, reps, n, percent))
 
