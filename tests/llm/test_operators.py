@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.llm import op1_substrings, op3_language, op4_mix, op6_join, op8_html, op9_toxicity, op10_decontaminate, registry
 
@@ -92,6 +93,25 @@ def test_mix_matches_its_sql(spark, tmp_path):
     assert sum(x.taken for x in got) == pytest.approx(sum(x["size"] for x in got), rel=0.05)
 
 
+def test_mix_of_null_and_equal_ids_meets_its_targets(spark, tmp_path):
+    """Rows without ids, with texts of one length or one text, in two sources: each source's words come near its target."""
+    for k, text in enumerate((lambda i: f"w{i} " * 5, lambda i: "one and the same text")):
+        rows = [(None, text(i), "a" if i % 2 else "b") for i in range(4000)]
+        folder = tmp_path / str(k)
+        spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(folder / "documents.parquet"))
+        got = op4_mix.query(spark, str(folder)).toPandas()
+        sums = got.groupby("target").agg(taken=("taken", "sum"))
+        assert len(sums) == 2 and all(abs(r.taken - target) <= 5 for target, r in sums.iterrows())
+        docs = spark.read.parquet(str(folder / "documents.parquet")).withColumn("size", F.lit("x"))
+        mixed = op4_mix.mixed(docs).toPandas()
+        assert mixed.columns.tolist() == ["doc_id", "text", "source", "size", "taken"]
+        assert sorted(mixed.groupby("source").taken.sum()) == sorted(sums.taken) and sorted(mixed.taken) == sorted(got.taken[got.taken > 0])
+        c = duckdb.connect()
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+        want = c.execute(f"SELECT target, taken, count(*) FROM ({op4_mix.ORACLE}) GROUP BY ALL ORDER BY ALL").fetchall()
+        assert want == sorted((t, n, len(g)) for (t, n), g in got.groupby(["target", "taken"]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href="/">Home</a><li>News</ul></nav><div class="cookie-notice">We use cookies</div>
 %s<aside>See also</aside><form><input><label>Mail</label></form><section id="comments"><p>First!</p></section><p>Printed on recycled pixels</p><footer>&copy; x</footer></body></html>"""
