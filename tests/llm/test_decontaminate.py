@@ -32,7 +32,7 @@ def test_candidates_do_not_depend_on_the_number_of_documents(spark):
     assert found[10_000] == found[15_000_000] == found[10**12] and len(found[10_000]) >= 50
 
 
-@pytest.mark.parametrize(("n", "quoted"), [(150, 100), (300, 160), (300, 72), (66, 60), (1000, 72)])
+@pytest.mark.parametrize(("n", "quoted"), [(150, 100), (300, 160), (300, 72), (66, 60), (1000, 72), (150, 50), (300, 48), (1000, 50)])
 def test_a_long_part_of_a_long_item_is_a_leak(spark, n, quoted):
     r = random.Random(n + quoted)
     item, filler = prose(r, n), prose(r, 400)

@@ -141,7 +141,8 @@ def test_leaks(spark):
     got = {(x.doc_id, x.item_id) for x in op10_decontaminate.leaks(docs, model).collect()}
     assert {(k, k) for k, _ in items} <= got
     assert len({(100 + k, k) for k, _ in items} & got) >= 38
-    assert all(d % 100 == i and d < 200 for d, i in got)
+    long = {(300 + k, k) for k, t in items if len(t.split()) == 150}  # 50 words in a row of an item
+    assert long <= got and all(d % 100 == i and d < 200 for d, i in got - long)
     assert {x.doc_id for x in op10_decontaminate.clean(docs, model).collect()} == {d for d, _ in rows} - {d for d, _ in got}
 
 
@@ -157,4 +158,4 @@ def test_held_out_accuracy(spark):
 
 
 def test_registry():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14)) and set(registry.ORACLES) <= set(registry.QUERIES)

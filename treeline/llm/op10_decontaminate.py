@@ -15,7 +15,7 @@ is collected and broadcast is bounded.
 Around a candidate, words are aligned with the whole item by a longest common subsequence. It leaks where the
 subsequence has at least COPY of the item's words; or where it has at least PARAPHRASE of them and the answer, the last
 ANSWER words of the item, is there too, as far as ANSWERED of it. An item of more than PASSAGE words also leaks where PART
-of one of its passages of PASSAGE words is there: any 72 words of it in a row do.
+of one of its passages of PASSAGE words is there, or any RUN words of it in a row.
 
 Words that more than COMMON of all documents have don't count, but each passage keeps at least KEEP of its rarest words.
 No word weighs more than one that a single of LEVEL documents has, so cosines depend on the words' shares of the documents
@@ -50,6 +50,8 @@ SHARD_WORDS = 1_000_000
 COSINE = 0.1
 COPY = 0.75
 PART = 0.8
+RUN = 48
+LEAST_OF_RUN = 40  # words of RUN in a row that lie in one passage at least, as passages start half a passage apart
 PARAPHRASE = 0.55
 ANSWER = 6
 ANSWERED = 0.5
@@ -90,6 +92,12 @@ def common_length(mask: dict[int, int], n: int, text: list[int]) -> int:
     return n - v.bit_count()
 
 
+def in_a_row(a: np.ndarray, b: np.ndarray, n: int = RUN) -> bool:
+    """Whether n words in a row of a are in b."""
+    rows = [set(words.joined(x.astype(np.uint64), np.array([0, len(x)]), tuple(range(1, n)), n)[0].tolist()) for x in (a, b)]
+    return not rows[0].isdisjoint(rows[1])
+
+
 def word_blocks(texts: list[str | None]) -> Iterator[words.Block]:
     return words.blocks([t.lower() if t else t for t in texts], words.NOT_ALNUM)
 
@@ -368,7 +376,8 @@ def leaks_of(model: Model, b: words.Block) -> list[tuple[int, int, int, float, f
                 break
             if item.passages and part is None:
                 near = b.value[max(b.word_at[t], start[w] - PASSAGE) : min(b.word_at[t + 1], stop[w] + PASSAGE)].tolist()
-                if any(common_length(x, PASSAGE, near) >= PART * PASSAGE for x in item.passages):
+                most = max(common_length(x, PASSAGE, near) for x in item.passages)
+                if most >= PART * PASSAGE or most >= LEAST_OF_RUN and in_a_row(item.words, np.array(near, np.uint64)):
                     part = (t, k, both, both / n, cosine)
         else:
             out += [part] if part else []
