@@ -148,10 +148,10 @@ def features(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np
         owner = b.owner()
         two, at = words.joined(b.value, b.word_at, (1,), 2)
         # The shape of a word: its last byte's class, whether it starts or continues in capitals, its length.
-        last, first, second = (b.raw[x] for x in (b.stop - 1, b.start, np.minimum(b.start + 1, b.stop - 1)))
+        last, first, second = (b.raw[x].astype(np.int64) for x in (b.stop - 1, b.start, np.minimum(b.start + 1, b.stop - 1)))
         kind = lambda x: np.where(x >= 128, 3, np.where((x >= 97) & (x <= 122), 0, np.where((x >= 65) & (x <= 90), 1, np.where((x >= 48) & (x <= 57), 2, 4 + x % 16))))
         shape = words.mix((((kind(last) * 32 + kind(first)) * 32 + kind(second)) * 16 + np.minimum(b.stop - b.start, 15)).astype(np.uint64) + np.uint64(1 << 32))
-        same = np.concatenate([[False], b.value[1:] == b.value[:-1]]) if len(b.value) else np.zeros(0, bool)
+        same = np.concatenate([[False], (b.value[1:] == b.value[:-1]) & (owner[1:] == owner[:-1])]) if len(b.value) else np.zeros(0, bool)
         again = np.full(int(same.sum()), words.mix(np.array([77], np.uint64))[0])
         found = np.concatenate([b.value, two, shape, again]) >> shift
         of = np.concatenate([owner, owner[at], owner, owner[same]])
