@@ -12,8 +12,8 @@ whole, and other columns are handed on as they are:
   stays; rows without a word are no duplicates and stay all.
 - decontaminate: null texts leak nothing; null and wordless items match nothing; repeated rows are judged alike.
 - redact_secrets: null texts stay null with their n_chars; where n_chars is null it is counted.
-- mix_sources: a null source is a source of its own; null texts have no words and aren't taken; rows equal in id, source and
-  size stand or fall together; columns named size or taken give way to those of the mix.
+- mix_sources: a null source is a source of its own; null texts have no words and aren't taken; of rows equal in id, source
+  and text as many are taken as the target asks for; columns named size or taken give way to those of the mix.
 """
 
 from __future__ import annotations
