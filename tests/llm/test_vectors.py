@@ -125,6 +125,17 @@ def test_pairs_come_by_falling_sum():
     assert [s for s, _, _ in got] == sorted((s for s, _, _ in got), reverse=True)
 
 
+def test_huge_components(spark, tmp_path):
+    """Vectors whose square length overflows take no part; scores that fit no long are null."""
+    rows = [(k, [float(k % 5), 1.0], k % 2) for k in range(1, 40)] + [(100, [1.0, 2.0], 1), (200, [1e300, 1.0], 0), (300, [1e20, 1e20], 1), (301, [1e19, 1e19], 1), (302, [8e18, 2e18], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = op12_negatives.query(spark, str(tmp_path)).collect()
+    assert {r.anchor_id for r in got} == {100, 300} and any(r.anchor_id == 300 and r.positive_score is None for r in got)
+    got = op13_neighbours.neighbours(df, F.col("id") % 100 == 0, 3).collect()
+    assert {r.query_id for r in got} == {100, 300} and [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 100] == [300, 301, 302]
+
+
 def test_few_and_no_rows(spark):
     none = table(spark, [])
     assert op13_neighbours.neighbours(none, F.lit(True)).count() == 0

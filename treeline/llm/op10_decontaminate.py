@@ -22,8 +22,8 @@ No word weighs more than one that a single of LEVEL documents has, so cosines de
 and not on how many documents there are.
 
 Defined results for odd input: null texts have no window; null and wordless items match nothing; equal rows of one
-doc_id give one row; ids of several items with one text are all reported; empty tables give no rows; other columns are
-ignored.
+doc_id give one row; ids of several items with one text are all reported; of passages that tie all are looked at; very long
+texts are read whole, in windows of which each is looked at by itself; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

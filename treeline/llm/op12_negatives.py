@@ -16,7 +16,8 @@ tree leaves out can't be in the result. Whole numbers below 2**53 make the score
 Defined results for odd input: rows with a null label, a null or empty vector or a null or non-finite component take no part,
 nor do rows without an id or of another size than most vectors; rows are told apart by row, so equal rows are each other's
 positives, and an anchor that occurs twice is mined twice; a positive without rows in its window gives nothing, as does one
-of a negative score; an empty table gives no rows; other columns are ignored.
+of a negative score; a vector whose square length overflows takes no part, and a score over 64 bits is null; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def mined(rows: DataFrame, anchors: Column, positives: int = POSITIVES, negative
     asks = written(good.join(own.withColumnRenamed("row", "anchor"), "anchor").select("probe", F.col("anchor").alias("own"), "label", *windows, "v"), "windows")
     bad = vectors.search(index, asks, negatives, visits(100.0), 100.0, "other")
     named = good.join(own.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id")), "anchor")
-    return bad.join(named, "probe").select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), F.col("positive_score").cast("long").alias("positive_score"), F.col("score").cast("long").alias("negative_score"))
+    return bad.join(named, "probe").select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), F.col("positive_score").try_cast("long").alias("positive_score"), F.col("score").try_cast("long").alias("negative_score"))
 
 
 def longer(x: np.ndarray, most: float) -> np.ndarray:
@@ -156,7 +157,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract of op12: labels of one row in seven are moved on, components are 256ths, rounded down."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    parts = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(F.abs(x) < float("inf"), F.floor(256 * x).cast("double")))  # null if not finite
+    whole = lambda x: F.when(F.abs(256 * x) < 2.0**53, F.floor(256 * x).cast("double")).when(F.abs(x) < float("inf"), 256 * x)  # noqa: E731  null if not finite
+    parts = F.transform(F.col("embedding").cast("array<double>"), whole)
     return mined(rows.select(F.col("vec_id").alias("id"), label.alias("label"), parts.alias("v")), F.expr(ANCHORS))
 
 

@@ -12,7 +12,7 @@ So the work follows the data: few cells where vectors cluster, most of them wher
 list is cut. K grows with the root of the rows up to MOST; recall is measured against brute force in the tests.
 
 Defined results for odd input: null, empty and zero vectors, those with null or non-finite components and those of another
-size than most take no part, nor do rows without an id; a query's own row is left out, an equal row of the same id isn't;
+size than most take no part, nor do rows without an id or whose square length overflows; a query's own row is left out, an equal row of the same id isn't;
 of equal scores the least id comes first; an empty table gives no rows; other columns are ignored.
 """
 

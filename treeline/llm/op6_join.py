@@ -28,7 +28,8 @@ documents that it needs again, so ``docs`` should be a table, not a long plan.
 
 Defined results for odd input: null text and text without a word give an empty set, linked with nothing; fewer words
 than n make one shingle; repeated rows are documents of one class; a null doc_id takes part, and its component has the
-least id that is not null; an empty table gives no rows; other columns are ignored.
+least id that is not null; ties of shingles, sizes and pivots are broken by hash and change the work only; very long texts are
+read whole, 8 bytes a shingle in one task at a time; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ what each partition writes along: its first four and its last four pages.
 Defined results for odd input: null and empty html give an empty text; a null URL counts as an empty one; repeated rows
 are pages of their own; unclosed elements end where HTML ends them; a ``<`` with a letter after it opens a tag, even where a
 formula was meant; pages of any length are aligned in memory that grows with the root of the number of lines times their
-number; an empty table gives no rows; other columns are ignored.
+number; pages of one URL lie in the order of page_id and content, and of several longest alignments one is taken, the same in
+each run; an empty table gives no rows; other columns, also with names used here, are ignored.
 """
 
 from __future__ import annotations

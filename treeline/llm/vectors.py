@@ -25,8 +25,9 @@ PROBE = "probe long, own long, label int, lo double, hi double, floor double, v
 
 
 def usable(vector: Column) -> Column:
-    """Whether a vector is there and all its components are finite."""
-    return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """Whether a vector is there, and all its components and its square length are finite."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vector.isNotNull() & (F.size(vector) > 0) & finite & (F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x) < float("inf"))
 
 
 def of_one_size(rows: DataFrame) -> tuple[DataFrame, int, int]:
