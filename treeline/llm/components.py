@@ -6,10 +6,10 @@ links is split over tasks like any other skewed join. Each round is written to t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from treeline.session import written
+from treeline.session import release, written
 
 MOST_ROUNDS = 50
 
@@ -25,9 +25,21 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select("u", "v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "links")
-        new = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("count_if(false)")).first()
+        seen = Observation()
+        new_edges = written(small.observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")), "links")
+        release(edges)
+        edges, new = new_edges, seen.get
         if new == state:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).unionByName(edges.select("v", F.col("v").alias("root"))).groupBy("v").agg(F.min("root").alias("root"))
         state = new
     raise RuntimeError(f"no end after {MOST_ROUNDS} rounds")
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known(v, root), written, and more links(a, b) -> (v, root), written: the components by both. Only what links join is looked at."""
+    moved = links
+    for x in "ab":
+        moved = moved.join(known.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+    more = written(components(moved.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))), "sides")
+    old = known.join(more.select(F.col("v").alias("root"), F.col("root").alias("to")), "root", "left").select("v", F.coalesce("to", "root").alias("root"))
+    return written(old.unionByName(more.join(known.select("v"), "v", "left_anti")), "sides")

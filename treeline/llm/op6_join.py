@@ -44,7 +44,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline.llm import words
-from treeline.llm.components import components
+from treeline.llm.components import components, merged
 from treeline.session import release, written
 
 NAME = "op6_jaccard_join"
@@ -330,11 +330,8 @@ def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
     return a.join(b, "key").where("a < b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
 
 
-def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) -> (sets(doc_id, text_hash, n, cls) with one row per document, links(a, b) of classes that connect).
-
-    Every two classes that link are connected by the links, though not each such pair is among them.
-    """
+def linked(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text) -> (sets(doc_id, text_hash, n, cls) with one row per document, (v, root) of the classes that link)."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("text_hash"))
     counts = rows.select("text").mapInArrow(counter(n), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") > rare)
@@ -368,31 +365,29 @@ def links(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> t
     for x in "ab":
         pairs = pairs.join(sides.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
     near = written(likely(pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), reps, percent), "pairs")
-    release(lists, sides)
-    first = first.unionByName(compared(near, rows, reps, n, percent))
+    release(lists)
+    sides = merged(sides, compared(near, rows, reps, n, percent))
     release(near)
-    label = components(first).select(F.col("v").alias("cls"), F.col("root").alias("label"))
+    label = sides.select(F.col("v").alias("cls"), F.col("root").alias("label"))
     known = written(long.select("key", "cls").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
     release(banded)
     lengths = lambda met: met.select("a", "b").distinct().join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
     # First each member's likeliest pair with a component. Only where one of these doesn't link are all pairs looked at.
     met = written(screened(known, reps, percent, True), "met")
-    first = first.unionByName(compared(written(lengths(met), "pairs"), rows, reps, n, percent))
-    label = written(components(first), "sides")
+    sides = merged(sides, compared(written(lengths(met), "pairs"), rows, reps, n, percent))
     for x in "ab":
-        met = met.join(label.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
+        met = met.join(sides.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
     still = met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("key").distinct()
-    known = known.join(still, "key", "left_semi").select("key", "cls").join(label.select(F.col("v").alias("cls"), F.col("root").alias("label")), "cls", "left")
+    known = known.join(still, "key", "left_semi").select("key", "cls").join(sides.select(F.col("v").alias("cls"), F.col("root").alias("label")), "cls", "left")
     known = written(known.withColumn("label", F.coalesce("label", "cls")), "labelled")
     rest = written(lengths(screened(known, reps, percent, False)), "pairs")
     release(known)
-    return sets, first.unionByName(compared(rest, rows, reps, n, percent))
+    return sets, merged(sides, compared(rest, rows, reps, n, percent))
 
 
 def groups(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
-    sets, found = links(docs, n, percent, rare)
-    roots = components(found)
+    sets, roots = linked(docs, n, percent, rare)
     s = sets.select("doc_id", "n", "cls").join(roots.withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = s.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return s.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
@@ -403,8 +398,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without a word stay all. A null doc_id comes before others.
     """
-    sets, found = links(docs, n, percent)
-    roots = components(found).withColumnRenamed("v", "cls")
+    sets, roots = linked(docs, n, percent)
+    roots = roots.withColumnRenamed("v", "cls")
     none = F.lit(-(1 << 63))
     s = sets.select("doc_id", "cls", "text_hash").join(roots, "cls", "left").select(F.coalesce("root", "cls").alias("root"), F.coalesce("doc_id", none).alias("k_id"), F.col("text_hash").alias("k_text"))
     first = s.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("k_id", "k_text")).alias("k")).select("k.*", F.lit(True).alias("one"))
