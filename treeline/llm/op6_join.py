@@ -343,11 +343,11 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) ->
     posted = made.select("cls", "n", F.explode("keys").alias("key"))
     several = posted.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
     live = written(posted.join(several, "key").distinct(), "lists")
-    release(made)
+    release(made, collect=True)
     # Of keys with the same list, the least.
     alike = live.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).groupBy("size", "x", "y").agg(F.min("key").alias("key"))
     lists = written(live.join(alike.select("key", "size"), "key"), "lists")
-    release(live)
+    release(live, collect=True)
     # Long lists fall apart by size: two sets that link lie in the same band or in neighbouring ones.
     band = F.floor(F.log(F.col("n")) / (np.log(100 / percent) * 1.0001))
     banded = lists.where(F.col("size") > SHORT).select("cls", "n", F.explode(F.array(F.xxhash64("key", band), F.xxhash64("key", band + 1))).alias("key"))
@@ -359,18 +359,18 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) ->
     # The first pivot of the long lists connects most of a large group; other pairs count only where that has left two apart.
     near = written(likely(star(F.slice("pivots", 1, 1)).distinct(), reps, percent), "pairs")
     first = compared(near, rows, reps, n, percent)
-    release(near)
+    release(near, collect=True)
     sides = written(components(first), "sides")
     pairs = short_pairs(lists, percent).unionByName(short_pairs(banded, percent)).unionByName(star(F.slice("pivots", 2, len(PIVOTS)))).distinct()
     for x in "ab":
         pairs = pairs.join(sides.select(F.col("v").alias(x), F.col("root").alias(f"root_{x}")), x, "left")
     near = written(likely(pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), reps, percent), "pairs")
-    release(lists)
+    release(lists, collect=True)
     sides = merged(sides, compared(near, rows, reps, n, percent))
-    release(near)
+    release(near, collect=True)
     label = sides.select(F.col("v").alias("cls"), F.col("root").alias("label"))
     known = written(long.select("key", "cls").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")), "labelled")
-    release(banded)
+    release(banded, collect=True)
     lengths = lambda met: met.select("a", "b").distinct().join(reps.select(F.col("cls").alias("a"), F.col("n").alias("n_a")), "a").join(reps.select(F.col("cls").alias("b"), F.col("n").alias("n_b")), "b")
     # First each member's likeliest pair with a component. Only where one of these doesn't link are all pairs looked at.
     met = written(screened(known, reps, percent, True), "met")
@@ -381,7 +381,7 @@ def linked(docs: DataFrame, n: int = 3, percent: int = 90, rare: int = RARE) ->
     known = known.join(still, "key", "left_semi").select("key", "cls").join(sides.select(F.col("v").alias("cls"), F.col("root").alias("label")), "cls", "left")
     known = written(known.withColumn("label", F.coalesce("label", "cls")), "labelled")
     rest = written(lengths(screened(known, reps, percent, False)), "pairs")
-    release(known)
+    release(known, collect=True)
     return sets, merged(sides, compared(rest, rows, reps, n, percent))
 
 
