@@ -124,7 +124,25 @@ def labelled(vertices: DataFrame, links: DataFrame, task_rows: int = 0) -> DataF
         c, root = greatest_reached(table.column("u").to_numpy(), table.column("v").to_numpy())
         return pa.table({"c": c, "root": root})
 
+    def stars(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the links of a partition, some TASK_ROWS at a time: each vertex with the greatest that it reaches by them."""
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += len(part)
+            if size >= TASK_ROWS:
+                yield from reached(held)
+                held, size = [], 0
+        if held:
+            yield from reached(held)
+
+    def reached(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        u, v = greatest_reached(table.column("u").to_numpy(), table.column("v").to_numpy())
+        return pa.table({"u": u[u != v], "v": v[u != v]}).to_batches(10_000)
+
     names = written(vertices.select("id", F.col("id").alias("root")), "names")
+    links = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).mapInArrow(stars, "u long, v long")
     links = written(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "links")
     while n := links.count():
         if n <= task_rows:
