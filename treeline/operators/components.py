@@ -40,6 +40,7 @@ def merges(edges: DataFrame) -> DataFrame:
 
 
 def labels_of(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(id, label): k flat clusters, the tree without its k - 1 last edges."""
+    """(id, label): k flat clusters, the tree without its k - 1 last edges. Edges are written first, as they are read twice."""
+    edges = written(edges.select("src", "dst", "weight"), "edges")
     last = edges.orderBy(F.desc("weight"), F.desc("src"), F.desc("dst")).limit(k - 1)
     return component_roots(vertices, edges.join(last.select("src", "dst"), ["src", "dst"], "left_anti")).select("id", F.col("root").alias("label"))
