@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from treeline.operators import components, contraction
 from treeline.plans import catalog
 
 DATA = "/root/testdata/sf0.1"
@@ -21,3 +22,13 @@ def test_whole_tables_match_their_oracles(spark, name, rows):
     got, want = (x[list(got.columns)].sort_values(key, ignore_index=True) for x in (got, want))
     assert len(got) == rows and (got[key] == want[key]).all(axis=None)
     assert ((got.iloc[:, -1].astype(float) - want.iloc[:, -1].astype(float)).abs() < 2e-6).all()
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """One task finishes what fits it; before, every round wrote four tables and more."""
+    small, rounds = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(contraction, "between", lambda *a, real=contraction.between: rounds.append(1) or real(*a))
+    taken = [(r.id, r.root) for r in catalog.component_root(spark, small).collect()]
+    assert catalog.single_linkage_labels(spark, small).count() == len(taken) and not rounds
+    edges = components.cut_at(catalog.tree(spark, small), catalog.HEIGHT)
+    assert sorted(taken) == sorted((r.id, r.root) for r in components.component_roots(catalog.vectors(spark, small).select("id"), edges).collect()) and rounds

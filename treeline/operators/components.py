@@ -39,8 +39,11 @@ def merges(edges: DataFrame) -> DataFrame:
     return numbered(written(edges.select("src", "dst", "weight"), "edges"), "weight", "src", "dst").select((F.col("index") + 1).cast("long").alias("step"), "src", "dst", "weight")
 
 
-def labels_of(vertices: DataFrame, edges: DataFrame, k: int) -> DataFrame:
-    """(id, label): k flat clusters, the tree without its k - 1 last edges. Edges are written first, as they are read twice."""
+def labels_of(vertices: DataFrame, edges: DataFrame, k: int, in_one_task: int = 0) -> DataFrame:
+    """(id, label): k flat clusters, the tree without its k - 1 last edges. Edges are written first, as they are read twice.
+
+    ``in_one_task`` as in ``component_roots``.
+    """
     edges = written(edges.select("src", "dst", "weight"), "edges")
     last = edges.orderBy(F.desc("weight"), F.desc("src"), F.desc("dst")).limit(k - 1)
-    return component_roots(vertices, edges.join(last.select("src", "dst"), ["src", "dst"], "left_anti")).select("id", F.col("root").alias("label"))
+    return component_roots(vertices, edges.join(last.select("src", "dst"), ["src", "dst"], "left_anti"), in_one_task).select("id", F.col("root").alias("label"))
