@@ -8,6 +8,7 @@ from treeline.operators import mst as M
 from treeline.operators import near
 from treeline.operators.kernels import distances, prim, within
 from treeline.operators.mst import cell_trees, local_trees, mst
+from treeline.plans import catalog
 from treeline.plans.splits import with_splits
 from treeline.session import written
 from treeline.sources.tables import literal
@@ -74,3 +75,15 @@ def test_without_a_bound_that_serves_trees_come_by_cells(spark, monkeypatch):
     monkeypatch.setattr(M, "near_forests", lambda *a, **k: None)
     assert edges(local_trees(divided, 2, near_from=0), "sg") == edges(local_trees(divided, 2), "sg")
     assert edges(mst(p, 2, 3, near_from=0)) == edges(mst(p, 2, 3))
+
+
+def test_only_the_subgraphs_asked_for_are_solved(spark, tmp_path, monkeypatch):
+    """Before, all subgraphs were solved and those of the other kind dropped."""
+    rows = [(k, [float(c) for c in x]) for k, x in enumerate(DRAWN)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    kinds = []
+    monkeypatch.setattr(catalog, "local_trees", lambda *a, real=local_trees, **k: (kinds.append(k.get("kind")), real(*a, **k))[1])
+    whole = edges(catalog.rounded(catalog.local(spark, str(tmp_path))), "sg")
+    assert edges(catalog.local_mst_complete(spark, str(tmp_path)), "sg") == [e for e in whole if e[0] >= 6]
+    assert edges(catalog.local_mst_bipartite(spark, str(tmp_path)), "sg") == [e for e in whole if e[0] < 6]
+    assert kinds == [None, "complete", "bipartite"]
