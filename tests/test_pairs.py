@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from treeline.functions.geometry import distance
+from treeline.operators import pairs as operator
 from treeline.operators.pairs import pairs_across, pairs_within
 from treeline.plans.splits import with_splits
 
@@ -26,3 +27,21 @@ def test_blocks_give_what_a_join_gives(spark, odd):
         assert sorted((r.sg, r.src, r.dst, repr(r.weight)) for r in got) == sorted(want[across])
         tasks = [r.task for r in got]
         assert max(map(tasks.count, set(tasks))) <= 1200 and len(set(tasks)) >= 9 * (1 + across)  # before: a task for each subgraph
+
+
+@pytest.mark.parametrize("made", [pairs_across])
+def test_points_are_not_dealt_to_each_block_they_meet(spark, made):
+    """Scratch has a point once; before, a shuffle had it once for each block that its own meets."""
+    p = with_splits(spark.range(200).select("id", F.array(F.col("id") / 7, F.col("id") % 5 * 1.0).alias("coords")), 2).localCheckpoint()
+    plan = made(p, 2, 8)._jdf.queryExecution()
+    assert "Exchange" not in plan.executedPlan().toString() and "Shuffle" not in plan.toRdd().toDebugString()
+
+
+def test_blocks_hold_each_point_once(spark, monkeypatch):
+    """In half the bits where nothing is lost; a block ends at its rows or its bytes, and long rows have blocks of their own."""
+    rows = [(k, [k / 8] * (k % 4)) for k in range(90)] + [(90, [0.1] * 2), (91, None), (92, [None, 1.0]), (None, [1.0]), (93, [float("nan"), -0.0, 1e300]), (94, [0.5] * 40)]
+    p = with_splits(spark.createDataFrame(rows, "id long, coords array<double>"), 2).localCheckpoint()
+    monkeypatch.setattr(operator, "BLOCK_BYTES", 100)
+    blocks = [operator._points(r.block) for r in operator._Blocks(p, 2, 12, None).table.collect()]
+    assert sorted(str(r) for b in blocks for r in zip(*b.to_pydict().values(), strict=True)) == sorted(str(r) for r in rows if r[0] is not None)
+    assert all(len(b) <= 12 and (len(b) == 1 or sum(len(c or []) for c in b.column("coords").to_pylist()[:-1]) * 8 < 100) for b in blocks)
