@@ -1,5 +1,6 @@
 """All pairs in blocks: the same pairs and bits as one join, with a task for each block."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def test_blocks_give_what_a_join_gives(spark, odd):
         assert max(map(tasks.count, set(tasks))) <= 1200 and len(set(tasks)) >= 9 * (1 + across)  # before: a task for each subgraph
 
 
-@pytest.mark.parametrize("made", [pairs_across])
+@pytest.mark.parametrize("made", [pairs_across, operator.pairs])
 def test_points_are_not_dealt_to_each_block_they_meet(spark, made):
     """Scratch has a point once; before, a shuffle had it once for each block that its own meets."""
     p = with_splits(spark.range(200).select("id", F.array(F.col("id") / 7, F.col("id") % 5 * 1.0).alias("coords")), 2).localCheckpoint()
@@ -45,3 +46,13 @@ def test_blocks_hold_each_point_once(spark, monkeypatch):
     blocks = [operator._points(r.block) for r in operator._Blocks(p, 2, 12, None).table.collect()]
     assert sorted(str(r) for b in blocks for r in zip(*b.to_pydict().values(), strict=True)) == sorted(str(r) for r in rows if r[0] is not None)
     assert all(len(b) <= 12 and (len(b) == 1 or sum(len(c or []) for c in b.column("coords").to_pylist()[:-1]) * 8 < 100) for b in blocks)
+
+
+def test_rounding_is_that_of_spark(spark):
+    """Of ties, of their neighbours and of what has no more digits too."""
+    r = np.random.default_rng(3)
+    ties = (r.integers(0, 10**7, 4000) + 0.5) / 1e6
+    odd = np.array([0.0, 1e-9, 5e-7, 4.9999999999999998e-7, 1.0000005, 2.5e-6, 1e15, 1e16 / 3, 1e300, float("inf"), float("nan"), 2.0**40 / 1e6, 2.0**33 + 0.1234565])
+    x = np.concatenate([ties, np.nextafter(ties, 0), np.nextafter(ties, 9e9), r.random(4000) * 3, r.random(4000) * 1e7, -ties, odd])
+    want = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "k int, v double").select(F.round("v", 6), "k").orderBy("k").collect()
+    assert [repr(v) for v in operator.rounded(x.reshape(1, -1), 6).ravel().tolist()] == [repr(w[0]) for w in want]
