@@ -30,7 +30,7 @@ def test_blocks_give_what_a_join_gives(spark, odd):
         assert max(map(tasks.count, set(tasks))) <= 1200 and len(set(tasks)) >= 9 * (1 + across)  # before: a task for each subgraph
 
 
-@pytest.mark.parametrize("made", [pairs_across, operator.pairs])
+@pytest.mark.parametrize("made", [pairs_across, operator.pairs, pairs_within])
 def test_points_are_not_dealt_to_each_block_they_meet(spark, made):
     """Scratch has a point once; before, a shuffle had it once for each block that its own meets."""
     p = with_splits(spark.range(200).select("id", F.array(F.col("id") / 7, F.col("id") % 5 * 1.0).alias("coords")), 2).localCheckpoint()
@@ -56,3 +56,10 @@ def test_rounding_is_that_of_spark(spark):
     x = np.concatenate([ties, np.nextafter(ties, 0), np.nextafter(ties, 9e9), r.random(4000) * 3, r.random(4000) * 1e7, -ties, odd])
     want = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "k int, v double").select(F.round("v", 6), "k").orderBy("k").collect()
     assert [repr(v) for v in operator.rounded(x.reshape(1, -1), 6).ravel().tolist()] == [repr(w[0]) for w in want]
+
+
+@pytest.mark.parametrize(("n", "splits"), [(0, 2), (1, 3), (7, 1)])
+def test_few_points_and_one_split(spark, n, splits):
+    p = with_splits(spark.range(n).select("id", F.array(F.col("id") * 1.0).alias("coords")), splits).localCheckpoint()
+    across, within, both = (made(p, splits, 2).count() for made in (pairs_across, pairs_within, operator.pairs))
+    assert across + within == both == n * (n - 1) // 2 and (splits > 1 or not across)
